@@ -24,7 +24,7 @@ from ._shared import map_batches
 
 #: Longer texts are cut at the next safe boundary.
 SPLIT_CHARS = 1 << 15
-_SAFE = re.compile(r"(?<=[!-~À-ɏ])(?=[ \t\n\r])")
+_SAFE = re.compile(f"(?<=[!-~{chr(0xC0)}-{chr(0x24F)}])(?=[ \\t\\n\\r])")
 
 
 @lru_cache(maxsize=4)

@@ -37,7 +37,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
 MEMO_WORDS = 300_000
 _WORD = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
 #: White space that only some libraries count as such: texts with it are tokenised whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
 
 class _Tokens:
