@@ -35,7 +35,9 @@ SHARD_ITEMS = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
 #: Words kept with their ids in a worker; beyond that the memo starts anew.
 MEMO_WORDS = 300_000
-_WORD = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
+_LETTERS = f"A-Za-z{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0x24F)}"
+#: White space and a word cut before punctuation; white space and what else stands before the next white space; white space at the end.
+_WORD = re.compile(rf"[ \t\n\v\f\r]*[{_LETTERS}]+(?=[.,:;!?|%*$&#])|[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
 #: White space that only some libraries count as such: texts with it are tokenised whole.
 _ODD = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
@@ -43,8 +45,9 @@ _ODD = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680
 class _Tokens:
     """Ids of texts as little-endian uint32 bytes, with a bounded memo of words.
 
-    A word with the white space before it is tokenised by itself: the byte-level
-    pre-tokenizer never joins what stands on both sides of such a cut.
+    A word with the white space before it, and the punctuation after it, are
+    tokenised by themselves: the byte-level pre-tokenizer never joins a
+    non-space with a white space after it, nor a letter with such punctuation.
     """
 
     def __init__(self, path: str):
@@ -58,17 +61,17 @@ class _Tokens:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for t in texts:
-            if _ODD.search(t):
-                yield self._plain([t])[0]
-                continue
-            words = _WORD.findall(t)
-            new = list({w for w in words if w not in self.memo})
-            if new:
-                if len(self.memo) + len(new) > MEMO_WORDS:
-                    self.memo, new = {}, list(set(words))
-                self.memo.update(zip(new, self._plain(new), strict=True))
-            yield b"".join(map(self.memo.__getitem__, words))
+        for at in range(0, len(texts), 64):
+            run = [None if _ODD.search(t) else _WORD.findall(t) for t in texts[at : at + 64]]
+            memo = self.memo
+            new = {w for words in run if words for w in words if w not in memo}
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = {w for words in run if words for w in words}
+            new = list(new)
+            memo.update(zip(new, self._plain(new), strict=True))
+            for t, words in zip(texts[at : at + 64], run, strict=True):
+                yield self._plain([t])[0] if words is None else b"".join(map(memo.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -221,6 +224,7 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     dealt from stable rows.
     """
     spark = placed.sparkSession
+    tasks = lambda n: max(1, min(n, 20_000))  # noqa: E731  shards are few bytes and much work: one task each
     scratch = Scratch(spark)
     # The written table is read in a fixed order, so row numbers are the same in every run of a task.
     base = scratch.save(placed.drop("sequence_id", "offset"))
@@ -246,12 +250,12 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
         return pd.DataFrame([(int(r["shard__"]), int(r["island"]), r["sizes"], [g.astype("<i4").tobytes() for g in got])], columns=["shard__", "island", "sizes", "genomes"])
 
     state = "shard__ long, island int, sizes binary, genomes array<binary>"
-    pop = scratch.save(open_.select("shard__", "length").groupBy("shard__").applyInPandas(start, state))
+    pop = scratch.save(open_.select("shard__", "length").repartition(tasks(shards), "shard__").groupBy("shard__").applyInPandas(start, state))
     for epoch in range(1, epochs):
         # Elite migration on a ring: each island gets the best genome of the one before it.
         elite = pop.select("shard__", ((F.col("island") + 1) % islands).alias("island"), F.col("genomes")[0].alias("elite"))
         moved = pop.join(elite, ["shard__", "island"], "left").withColumn("epoch", F.lit(epoch))
-        pop = scratch.save(moved.groupBy("shard__", "island").applyInPandas(again, state))
+        pop = scratch.save(moved.repartition(tasks(shards * islands), "shard__", "island").groupBy("shard__", "island").applyInPandas(again, state))
 
     def place(key: tuple, items: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "row_no__"], ascending=[False, True], kind="stable")
