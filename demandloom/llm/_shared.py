@@ -53,10 +53,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+#: Batches larger than this are worked on in parts, so that a worker's memory doesn't follow the batch size.
+PART_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str, part_bytes: int = PART_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from fn(b)
+            parts = max(1, -(-b.nbytes // part_bytes))
+            step = max(1, -(-b.num_rows // parts))
+            for at in range(0, b.num_rows, step):
+                yield from fn(b.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

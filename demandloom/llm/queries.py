@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, substring_dedup
 from ._shared import load
 
 
@@ -17,6 +17,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
@@ -30,7 +35,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_bpe_round_trip)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
