@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, substring_dedup
+from . import bpe, jaccard_join, packing, substring_dedup
 from ._shared import load
 
 
@@ -34,8 +34,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
