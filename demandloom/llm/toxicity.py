@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, remainder
+from ._shared import as_bytes, remainder, training_rows
 from ._words import chunks, mix
 
 ORDER = 6
@@ -182,17 +182,6 @@ def curve(x: np.ndarray, fitted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(beta[0] + (x / scale) @ beta[1:], -30, 30)))
 
 
-def training_rows(labels: DataFrame, label: str, held_mod: int, held_at: int, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, y) of each label 0 and 1 outside the held-out fold, by hash of the id.
-
-    A document labelled more than once counts as its largest label; null ids and labels don't count.
-    """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", held_mod) != held_at))
-    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return pick(0).union(pick(1))
-
-
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: int = 4, held_at: int = 2, max_train: int = MAX_TRAIN, max_curve: int = MAX_CURVE, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on).
 
