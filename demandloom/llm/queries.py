@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, packing, quality_gam, substring_dedup, toxicity
+from . import bpe, jaccard_join, packing, quality_gam, quality_rules, substring_dedup, toxicity
 from ._shared import load
 
 
@@ -47,8 +47,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, load(spark, sf_dir, "labels")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier)}
+    return {f.__name__: f for f in (op2_toxicity, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
