@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, packing, quality_gam, quality_rules, substring_dedup, toxicity
+from . import bpe, jaccard_join, line_dedup, packing, quality_gam, quality_rules, substring_dedup, toxicity
 from ._shared import load
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
