@@ -1,11 +1,72 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
-STAGES = []
+from collections.abc import Callable
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demandloom.llm import jaccard_join, line_dedup, packing, quality_gam, substring_dedup
+from demandloom.llm._shared import Scratch, load
+
+#: Up to so many ids (8 bytes each) are broadcast; beyond that the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, n_chars brought up to the text."""
+    return df.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject, unchanged."""
+    return quality_gam.score(docs, load(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that nearly repeat an earlier one; a text may become empty."""
+    return _as_documents(line_dedup.dedup(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near duplicates.
+
+    Documents without words are linked with nothing and stay, as do rows with a null
+    id; rows that share an id stay or go together.
+    """
+    found = Scratch(spark).save(jaccard_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    gone = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 50 words or more that an earlier one holds."""
+    return _as_documents(substring_dedup.remove(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", passages),
+    ("best_fit_packing", pack),
+]
+
+#: The classifier's boosting and the genetic algorithm have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark), load(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, packing, quality_gam, quality_rules, substring_dedup, toxicity
+from . import bpe, chat_tools, embedding_dedup, jaccard_join, line_dedup, packing, quality_gam, quality_rules, substring_dedup, toxicity
 from ._shared import load
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(load(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut)
@@ -52,14 +56,44 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_tools.from_conversations(load(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "kind", "call_id", "linked", "duplicate", "valid_arguments", "order_turn", "order_level", "cyclic", "json")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, load(spark, sf_dir, "labels")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op9_chat_formatting, op10_quality_rules)}
+
+
+#: Every user turn calls ``reply``; an assistant turn answers the turn before it.
+_CHAT_SQL = r"""
+WITH p AS (
+  SELECT conv_id, turn, role, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN CAST(turn AS VARCHAR) WHEN 'assistant' THEN CAST(turn - 1 AS VARCHAR) END AS call_id
+  FROM conversations
+), f AS (SELECT conv_id, call_id, kind, min(turn) AS first_turn FROM p WHERE call_id IS NOT NULL AND kind <> 'message' GROUP BY ALL),
+m AS (
+  SELECT p.*, o.first_turn AS own, x.first_turn AS mate FROM p
+  LEFT JOIN f o ON p.conv_id = o.conv_id AND p.call_id = o.call_id AND p.kind = o.kind
+  LEFT JOIN f x ON p.conv_id = x.conv_id AND p.call_id = x.call_id AND p.kind <> x.kind
+)
+SELECT conv_id, turn, kind, call_id,
+  coalesce(own = turn AND mate IS NOT NULL, false) AS linked, coalesce(own <> turn, false) AS duplicate,
+  CASE WHEN kind = 'call' THEN text IS NOT NULL END AS valid_arguments,
+  turn AS order_turn, CAST(0 AS BIGINT) AS order_level, false AS cyclic,
+  CASE kind
+    WHEN 'call' THEN '{"role":' || to_json(role) || ',"tool_call":{"arguments":{"prompt":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply"}}'
+    WHEN 'result' THEN '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || ',"tool_call_id":' || to_json(call_id) || '}'
+    ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' END AS json
+FROM m
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_formatting": _CHAT_SQL}
