@@ -218,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
 
     kind = "name string, at int, data binary"
     tables = {name: np.zeros(size, np.uint64) for name, size, _ in TABLES}
-    for r in docs.mapInArrow(count, kind).groupBy("name", "at").applyInPandas(merged, kind).toLocalIterator():
+    for r in docs.mapInArrow(count, kind).groupBy("name", "at").applyInPandas(merged, kind).collect():  # the finished tables: some 50 MB before compression
         x = np.frombuffer(zlib.decompress(r["data"]), np.uint64)
         tables[r["name"]][r["at"] : r["at"] + len(x)] = x
     model = spark.sparkContext.broadcast(Model(tables))
