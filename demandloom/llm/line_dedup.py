@@ -1,6 +1,6 @@
 """Line dedup: exact set-similarity self-join of lines, later matches removed.
 
-DataFrame functions only.  A line's tokens are its distinct words, A-Z lower-cased.
+DataFrame functions only.  A line's tokens are its distinct words, lower-cased.
 A line goes if an earlier line, by (doc_id, place in the text), has Jaccard
 similarity of at least ``threshold`` with it; earlier lines count whether or not they
 go themselves.
@@ -29,20 +29,18 @@ from ._shared import Scratch
 THRESHOLD = Fraction(3, 4)
 BUCKETS = 1 << 16
 SPACE = r"[\x20\x09-\x0D]+"
-#: A-Z and what they become.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many ids (8 bytes each) are broadcast; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), SPACE), lambda w: w != "")
+    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """Literal array: for each bucket a rank that grows with the count of its words in all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    counts = docs.select(F.explode(F.split(F.translate(text, UPPER, LOWER), SPACE)).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
+    counts = docs.select(F.explode(F.split(F.lower(text), SPACE)).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
     rank = [0] * buckets
     for r in counts.select("b", F.floor(8 * F.log2("count")).cast("int").alias("r")).collect():
         rank[r["b"]] = r["r"]
@@ -55,10 +53,15 @@ def _tokens(line: Column, ranks: Column, buckets: int) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
 
 
-def _lines(docs: DataFrame, ranks: Column, buckets: int) -> DataFrame:
-    """(doc_id, th, line_no, t): a row for every line with a word; th tells texts under one id apart."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "th", "line_no", _tokens(F.col("line"), ranks, buckets).alias("t")).where(F.size("t") > 0)
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, line); th tells texts under one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _parity(t: str, salt: int) -> Column:
+    """64 cells, each the parity of the tokens that fall into it."""
+    cell = lambda x: F.pmod(F.shiftrightunsigned(x, salt), F.lit(64)).cast("int")
+    return F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell(x))))
 
 
 def _prefix(t: Fraction) -> Column:
@@ -70,20 +73,24 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
     """(doc_id, th, line_no) of the lines to remove; th is xxhash64 of the text."""
     scratch, t = Scratch(docs.sparkSession), threshold
     ranks = rarity(docs, buckets)
-    lines = _lines(docs, ranks, buckets)
-    low = lambda k: F.array_min(F.transform("t", lambda x: F.xxhash64(x, F.lit(k))))
+    # Tokens of even and of odd hash have a parity bitmap each: 128 cells in all.
+    lines = _lines(docs).select("doc_id", "th", "line_no", _tokens(F.col("line"), ranks, buckets).alias("t")).where(F.size("t") > 0)
+    lines = lines.select("*", F.sort_array(F.transform("t", lambda x: F.xxhash64(x))).alias("low"))
+    side = lambda odd: F.filter("t", lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == odd)
+    lines = lines.select("*", side(0).alias("even"), side(1).alias("odd"))
     wide = lines.select(
         "doc_id", "th", "line_no",
         F.xxhash64("t", F.lit(1)).alias("sig"),
         F.size("t").alias("n"),
         F.transform(F.slice("t", F.lit(1), _prefix(t)), lambda x: F.hash(x)).alias("prefix"),
-        F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int")))).alias("bits"),
-        F.xxhash64(low(1), low(2)).alias("k1"),
-        F.xxhash64(low(3), low(4)).alias("k2"),
+        _parity("even", 1).alias("bits"),
+        _parity("odd", 1).alias("bits2"),
+        F.xxhash64(F.get("low", F.lit(0)), F.get("low", F.lit(1))).alias("k1"),
+        F.xxhash64(F.get("low", F.lit(2)), F.get("low", F.lit(3))).alias("k2"),
     )
     wide = scratch.save(wide)
     place = F.struct("doc_id", "th", "line_no")
-    classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("n", "bits", "k1", "k2", "prefix")).alias("x")).select("sig", "place", "x.*"))
+    classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("n", "bits", "bits2", "k1", "k2", "prefix")).alias("x")).select("sig", "place", "x.*"))
     every = scratch.save(wide.select("doc_id", "th", "line_no", "sig"))
     scratch.drop(wide)
 
@@ -94,29 +101,32 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
         ids = where.select("doc_id").distinct()
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        sets = _lines(some, ranks, buckets).withColumn("sig", F.xxhash64("t", F.lit(1)))
-        on = [sets["sig"] == where["sig"], sets["doc_id"].eqNullSafe(where["doc_id"]), sets["th"] == where["th"], sets["line_no"] == where["line_no"]]
-        sets = scratch.save(sets.join(where, on, "left_semi").select("sig", "t").dropDuplicates(["sig"]))
+        lines = _lines(some)
+        on = [lines["doc_id"].eqNullSafe(where["doc_id"]), lines["th"] == where["th"], lines["line_no"] == where["line_no"]]
+        items = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+        sets = scratch.save(lines.join(where, on).select("sig", items.alias("t")).dropDuplicates(["sig"]))
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
-        return both.where(common * t.denominator >= (F.size("ta") + F.size("tb") - common) * t.numerator).select(F.col("b").alias("sig")).distinct()
+        out = scratch.save(both.where(common * t.denominator >= (F.size("ta") + F.size("tb") - common) * t.numerator).select(F.col("b").alias("sig")).distinct())
+        scratch.drop(where, sets, pairs)
+        return out
 
-    near = lambda a, b: f"bit_count({a}.bits ^ {b}.bits) * {t.numerator + t.denominator} <= ({a}.n + {b}.n) * {t.denominator - t.numerator} AND {a}.n * {t.denominator} >= {b}.n * {t.numerator} AND {b}.n * {t.denominator} >= {a}.n * {t.numerator}"
-    narrow = classes.select("sig", "place", "n", "bits", "k1", "k2")
+    near = lambda a, b: f"(bit_count({a}.bits ^ {b}.bits) + bit_count({a}.bits2 ^ {b}.bits2)) * {t.numerator + t.denominator} <= ({a}.n + {b}.n) * {t.denominator - t.numerator} AND {a}.n * {t.denominator} >= {b}.n * {t.numerator} AND {b}.n * {t.denominator} >= {a}.n * {t.numerator}"
+    narrow = classes.select("sig", "place", "n", "bits", "bits2", "k1", "k2")
     gone: DataFrame | None = None
     for k in ("k1", "k2"):
         left = narrow if gone is None else narrow.join(gone, "sig", "left_anti")
-        first = narrow.groupBy(k).agg(F.min(F.struct("place", "sig", "n", "bits")).alias("f")).select(k, "f.*")
+        first = narrow.groupBy(k).agg(F.min(F.struct("place", "sig", "n", "bits", "bits2")).alias("f")).select(k, "f.*")
         star = left.alias("b").join(first.alias("a"), k).where(F.expr(f"a.sig <> b.sig AND {near('a', 'b')}")).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"))
         found = similar(scratch.save(star))
         gone = scratch.save(found if gone is None else gone.union(found))
 
-    posting = classes.select("sig", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    probe = posting.join(gone, "sig", "left_anti")
+    # One exchange serves both sides of the join: the flag of the probing side is tested in the join itself.
+    posting = classes.join(gone.withColumn("done", F.lit(1)), "sig", "left").select("sig", "n", "bits", "bits2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("pos", "token"))
     # The overlap that is still possible if this is their first common token, against the one needed.
     most = "least(x.n - x.pos, y.n - y.pos)"
     reach = f"({most}) * {t.numerator + t.denominator} >= (x.n + y.n) * {t.numerator}"
-    pairs = probe.alias("x").join(posting.alias("y"), "token").where(F.expr(f"x.sig <> y.sig AND {reach} AND {near('x', 'y')}"))
+    pairs = posting.alias("x").join(posting.alias("y"), "token").where(F.expr(f"x.sig <> y.sig AND x.done + 0 * y.done = 0 AND {reach} AND {near('x', 'y')}"))
     pairs = pairs.select(F.col("x.sig").alias("b"), F.col("y.sig").alias("a")).distinct()
     order = classes.select("sig", "place")
     pairs = pairs.join(order.select(F.col("sig").alias("b"), F.col("place").alias("pb")), "b").join(order.select(F.col("sig").alias("a"), F.col("place").alias("pa")), "a").where("pa < pb")

@@ -21,7 +21,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h
 
 
 def lower(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    return (t or "").lower()
 
 
 def texts(seed=1, n=60):
