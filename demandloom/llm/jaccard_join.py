@@ -14,8 +14,8 @@
   than one component are gone through in full, pairs inside a component left out:
   they can't change the result, so no link between components is lost and no group
   of copies is ever expanded into all pairs.
-* A pair is first tested by parity bitmaps, which bound the symmetric difference
-  from below, then exactly on the sets.
+* A pair is first tested by counts in hashed cells, which bound the symmetric
+  difference from below, then exactly on the sets.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ WIDTH = 5
 THRESHOLD = Fraction(3, 4)
 #: A shingle met this often within one batch, and in all this often, is ordered last; at most so many are.
 HOT_IN_BATCH, HOT, HOT_MOST = 8, 64, 1 << 19
-BITMAP_WORDS = 32
 #: Up to so many ids are broadcast (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 SUBSET_COST, SCAN_COST = 1.0, 1.0
@@ -51,10 +50,20 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() ^ np.uint64(len(s)), 0], np.uint64))[:1].view(np.int64)[0]) if len(s) else 0
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of 64 * BITMAP_WORDS cells."""
-    cell = np.bincount(mix(s + np.uint64(77)) % np.uint64(64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(cell.astype(np.uint8)).view(np.int64)
+def cells(s: np.ndarray) -> np.ndarray:
+    """How many elements fall into each of a power of two of cells, about one for two elements; 255 stands for more."""
+    size = 1 << max(6, (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((mix(s + np.uint64(77)) & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Lower bound of the symmetric difference of two sets from their cells; the finer ones are folded (unless they may have overflowed)."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y) and x.max(initial=0) == 255:
+        return 0
+    x = x.astype(np.int32).reshape(-1, len(y)).sum(axis=0)
+    return int(np.abs(np.minimum(x, 255) - y).sum())
 
 
 def prefix_length(n: int, t: Fraction = THRESHOLD) -> int:
@@ -93,7 +102,7 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
             s = shingles(h, width)
             n.append(len(s))
             sig.append(signature(s))
-            bits.append(bitmap(s).tobytes() if len(s) else None)
+            bits.append(cells(s).tobytes() if len(s) else None)
             every.append(s)
             prefix.append(s[: prefix_length(len(s), t)] if len(s) else s)
         ids, rows = b.column("doc_id"), len(n)
@@ -200,11 +209,11 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
         side = lambda x: one.select(F.col("sig").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}"))
 
         def near(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
             na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
-            apart = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64)
+            vectors = zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)
+            least = np.array([apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in vectors], np.int64)
             # J >= t means at most (1 - t) / (1 + t) of both sizes' sum differs.
-            ok = apart * (t.numerator + t.denominator) <= (na + nb) * (t.denominator - t.numerator)
+            ok = least * (t.numerator + t.denominator) <= (na + nb) * (t.denominator - t.numerator)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
         few = scratch.save(map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), near, "a long, b long"))
