@@ -59,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: The classifier's boosting and the genetic algorithm have no SQL form; tests hold run() against brute force.
+#: The classifier's boosting and the genetic algorithm have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
