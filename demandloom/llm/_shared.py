@@ -32,6 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -39,14 +40,28 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that no plan needs any more."""
+        self._delete([t.scratch_path for t in tables])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all saved tables but these, and let the shuffle files of finished jobs go."""
+        self._delete([p for p in self.paths if p not in {t.scratch_path for t in kept}])
+        self.release()
+
+    def release(self) -> None:
+        """Spark deletes a finished job's shuffle files only once the driver has collected its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths.remove(p)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -203,6 +203,7 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
 
     one = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n").alias("n"))
     one = scratch.save(one)
+    scratch.release()
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) of class ids that are links."""
@@ -236,7 +237,10 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
                 ok.append(both * t.denominator >= (len(x) + len(y) - both) * t.numerator)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-        return scratch.save(map_batches(few.join(b_, "b").join(a, "a"), exact, "a long, b long"))
+        out = scratch.save(map_batches(few.join(b_, "b").join(a, "a"), exact, "a long, b long"))
+        scratch.drop(few, reps, sets)
+        scratch.release()
+        return out
 
     star = shared.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     star = scratch.save(star)
@@ -247,6 +251,8 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
     parted = label(label(star, "a"), "b").where("a_comp <> b_comp").select(F.col("a").alias("leader"), F.col("b").alias("cid"))
     keys = shared.join(parted, ["leader", "cid"], "left_semi").select("key").union(shared.groupBy("key").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x <> y").select("key")).distinct()
     members = scratch.save(label(shared.join(keys, "key", "left_semi").select("key", "cid", "n"), "cid"))
+    scratch.drop(shared, comp)
+    scratch.release()
     counts = members.groupBy("key", "cid_comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max(F.struct("c", "cid_comp"))["cid_comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
     other = members.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("cid_comp").alias("b_comp"))
@@ -255,7 +261,11 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
     cross = minor.join(other, "key").where(f"a_comp <> b_comp AND (b_comp = major OR a < b) AND {size_ok}")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = linked(scratch.save(cross.join(tried, ["a", "b"], "left_anti")))
+    cross = scratch.save(cross.join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(members, star)
+    scratch.release()
+    more = linked(cross)
+    scratch.drop(cross)
     # Class ids become smallest doc_ids.
     name = one.select("sig", F.col("doc_id").alias("class_id"))
     every = links.union(more)
@@ -275,4 +285,6 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, width: int
     rows, links = classes(docs, scratch, threshold, width, doc_id, text)
     comp = scratch.save(components(scratch.save(links), scratch))
     out = rows.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+    out = scratch.save(out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")))
+    scratch.drop_others(out)
+    return out

@@ -93,6 +93,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
     classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("n", "bits", "bits2", "k1", "k2", "prefix")).alias("x")).select("sig", "place", "x.*"))
     every = scratch.save(wide.select("doc_id", "th", "line_no", "sig"))
     scratch.drop(wide)
+    scratch.release()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """sig of those later members b of pairs (a, b) whose token sets are similar enough to a's."""
@@ -109,6 +110,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
         common = F.size(F.array_intersect("ta", "tb"))
         out = scratch.save(both.where(common * t.denominator >= (F.size("ta") + F.size("tb") - common) * t.numerator).select(F.col("b").alias("sig")).distinct())
         scratch.drop(where, sets, pairs)
+        scratch.release()
         return out
 
     near = lambda a, b: f"(bit_count({a}.bits ^ {b}.bits) + bit_count({a}.bits2 ^ {b}.bits2)) * {t.numerator + t.denominator} <= ({a}.n + {b}.n) * {t.denominator - t.numerator} AND {a}.n * {t.denominator} >= {b}.n * {t.numerator} AND {b}.n * {t.denominator} >= {a}.n * {t.numerator}"
@@ -133,7 +135,9 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
     gone = scratch.save(gone.union(similar(scratch.save(pairs.select("a", "b")))))
     # All lines of a class that goes, and all but the first of one that stays.
     marked = every.join(classes.select("sig", "place"), "sig").join(gone.withColumn("gone", F.lit(True)), "sig", "left")
-    return marked.where(F.col("gone").isNotNull() | (F.struct("doc_id", "th", "line_no") != F.col("place"))).select("doc_id", "th", "line_no")
+    out = scratch.save(marked.where(F.col("gone").isNotNull() | (F.struct("doc_id", "th", "line_no") != F.col("place"))).select("doc_id", "th", "line_no"))
+    scratch.drop_others(out)
+    return out
 
 
 def dedup(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
