@@ -33,8 +33,8 @@ from ._shared import Scratch, map_batches
 CAPACITY = 2048
 SHARD_ITEMS = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
-#: Words kept with their ids in a worker; beyond that the memo starts anew.
-MEMO_WORDS = 300_000
+#: Words kept with their ids in a worker, once more as many from before: beyond that the older half goes, but for words met since.
+MEMO_WORDS = 500_000
 _LETTERS = f"A-Za-z{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0x24F)}"
 #: White space and a word cut before punctuation; white space and what else stands before the next white space; white space at the end.
 _WORD = re.compile(rf"[ \t\n\v\f\r]*[{_LETTERS}]+(?=[.,:;!?|%*$&#])|[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
@@ -54,7 +54,7 @@ class _Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok, self.memo, self.older = Tokenizer.from_file(path), {}, {}
         self.tok.encode_special_tokens = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -63,12 +63,12 @@ class _Tokens:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
             run = [None if _ODD.search(t) else _WORD.findall(t) for t in texts[at : at + 64]]
-            memo = self.memo
+            if len(self.memo) > MEMO_WORDS:
+                self.memo, self.older = {}, self.memo
+            memo, older = self.memo, self.older
             new = {w for words in run if words for w in words if w not in memo}
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = {w for words in run if words for w in words}
-            new = list(new)
+            memo.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
             memo.update(zip(new, self._plain(new), strict=True))
             for t, words in zip(texts[at : at + 64], run, strict=True):
                 yield self._plain([t])[0] if words is None else b"".join(map(memo.__getitem__, words))
