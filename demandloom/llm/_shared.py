@@ -72,13 +72,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 PART_BYTES = 8 << 20
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], part_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = max(1, -(-b.nbytes // part_bytes))
+        step = max(1, -(-b.num_rows // parts))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str, part_bytes: int = PART_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = max(1, -(-b.nbytes // part_bytes))
-            step = max(1, -(-b.num_rows // parts))
-            for at in range(0, b.num_rows, step):
-                yield from fn(b.slice(at, step))
+        for b in in_parts(batches, part_bytes):
+            yield from fn(b)
 
     return df.mapInArrow(run, schema)
 

@@ -1,7 +1,9 @@
 """Exact Jaccard join on word shingles with a size-aware heavy-light split.
 
 * Documents with equal shingle sets are one class; everything below works on classes.
-* All sets are ordered by one global order: very frequent shingles last, else by hash.
+* All sets are ordered by one global order: frequent shingles last, by how frequent
+  they are, all others by hash.  Frequencies are counted within tasks and summed over
+  all of them; as any global order is valid, they decide cost only.
   Two sets with J >= t share an element of their prefixes of n - ceil(t n) + 1, and
   two elements of the prefixes one longer.
 * Light sets (small) enumerate all 2-element subsets of the longer prefix: the
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, as_bytes, components, map_batches
+from ._shared import Scratch, as_bytes, components, in_parts, map_batches
 from ._words import each_text, mix, window_hashes
 
 WIDTH = 5
 THRESHOLD = Fraction(3, 4)
-#: A shingle met this often within one batch, and in all this often, is ordered last; at most so many are.
-HOT_IN_BATCH, HOT, HOT_MOST = 8, 64, 1 << 19
+#: A shingle is reported once a task has met it this often in different sets; reported this often in all, it is ordered last; at most so many are.
+HOT_IN_TASK, HOT, HOT_MOST = 3, 12, 1 << 19
+#: Signatures that a task remembers, so that copies are counted once.
+SEEN_MOST = 1 << 17
 #: Up to so many ids are broadcast (8 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 SUBSET_COST, SCAN_COST = 1.0, 1.0
@@ -66,6 +70,28 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(np.minimum(x, 255) - y).sum())
 
 
+class Frequencies:
+    """About how often values were added lately, at bounded memory: the smaller of two hashed cells, all halved from time to time."""
+
+    BITS, HALVE_AFTER = 24, 6_000_000
+
+    def __init__(self):
+        self.cells, self.added = np.zeros((2, 1 << self.BITS), np.uint8), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Add distinct values so many times; their counts so far."""
+        self.added += len(values)
+        if self.added > self.HALVE_AFTER:
+            self.cells >>= 1
+            self.added = len(values)
+        got = []
+        for cells, h in zip(self.cells, (values, values << np.uint64(self.BITS)), strict=True):
+            at = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+            cells[at] = np.minimum(cells[at] + counts, 255)
+            got.append(cells[at])
+        return np.minimum(*got)
+
+
 def prefix_length(n: int, t: Fraction = THRESHOLD) -> int:
     return n - -(-n * t.numerator // t.denominator) + 1
 
@@ -96,29 +122,45 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def describe(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, sig, bits, every, prefix = [], [], [], [], []
-        for _, h in each_text(as_bytes(b.column("text")), lower=True):
-            s = shingles(h, width)
-            n.append(len(s))
-            sig.append(signature(s))
-            bits.append(cells(s).tobytes() if len(s) else None)
-            every.append(s)
-            prefix.append(s[: prefix_length(len(s), t)] if len(s) else s)
-        ids, rows = b.column("doc_id"), len(n)
-        value, count = np.unique(np.concatenate(every), return_counts=True)
-        hot = count >= HOT_IN_BATCH
-        value, count = value[hot].view(np.int64), count[hot]
-        flat = np.concatenate(prefix)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(rows, np.int32))], ["doc_id", "n", "sig", "bits", "kind"])
-        extra = [(value, count, 1), (np.array([len(flat)]), np.array([len(np.unique(flat))]), 2)]
-        for v, c, kind in extra:
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.binary()), pa.array(np.full(len(v), kind, np.int32))], ["doc_id", "n", "sig", "bits", "kind"])
-
-    told = scratch.save(map_batches(docs, describe, "doc_id long, n long, sig long, bits binary, kind int"))
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, seen = Frequencies(), set()
+        for b in in_parts(batches):
+            n, sig, bits, every, prefix = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, h in each_text(as_bytes(b.column("text")), lower=True):
+                s = shingles(h, width)
+                n.append(len(s))
+                sig.append(signature(s))
+                bits.append(cells(s).tobytes() if len(s) else None)
+                if len(s) and sig[-1] not in seen:
+                    seen.add(sig[-1])
+                    every.append(s)
+                    prefix.append(s[: prefix_length(len(s), t)])
+            if len(seen) > SEEN_MOST:
+                seen.clear()
+            rows = len(n)
+            value, count = np.unique(np.concatenate(every), return_counts=True)
+            hot = often.add(value, count) >= HOT_IN_TASK
+            value, count = value[hot].view(np.int64), count[hot]
+            flat = np.concatenate(prefix)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(rows, np.int32))], ["doc_id", "n", "sig", "bits", "kind"])
+            for v, c, kind in [(value, count, 1), (np.array([len(flat)]), np.array([len(np.unique(flat))]), 2)]:
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.binary()), pa.array(np.full(len(v), kind, np.int32))], ["doc_id", "n", "sig", "bits", "kind"])
+
+    told = scratch.save(docs.mapInArrow(describe, "doc_id long, n long, sig long, bits binary, kind int"))
     rows = told.where("kind = 0").drop("kind")
-    hot = told.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "doc_id").limit(HOT_MOST)
-    hot_list = np.sort(np.array([r[0] for r in hot.select("doc_id").collect()], np.int64).view(np.uint64))
+    hot = told.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT)
+    hot = scratch.save(hot.select("doc_id", F.floor(4 * F.log2("c")).cast("int").alias("level")))
+    # The most frequent levels that together are few enough, whatever the number of documents.
+    least, room = None, HOT_MOST
+    for level, c in hot.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= c
+        if room < 0:
+            break
+        least = level
+    found = hot.where(F.col("level") >= least).collect() if least is not None else []
+    hot_list, hot_level = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    hot_order = np.argsort(hot_list)
+    hot_list, hot_level = hot_list[hot_order], hot_level[hot_order]
     all_, distinct = told.where("kind = 2").agg(F.sum("doc_id"), F.sum("n")).first()
     edge = boundary((all_ or 0) / max(1, distinct or 1), t)
 
@@ -134,8 +176,10 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
             seen.add(c)
             n = len(s)
             if len(hot_list):
-                is_hot = hot_list[np.minimum(np.searchsorted(hot_list, s), len(hot_list) - 1)] == s
-                s = np.concatenate((s[~is_hot], s[is_hot]))
+                at = np.minimum(np.searchsorted(hot_list, s), len(hot_list) - 1)
+                is_hot = hot_list[at] == s
+                last = s[is_hot]
+                s = np.concatenate((s[~is_hot], last[np.argsort(hot_level[at[is_hot]], kind="stable")]))
             p = prefix_length(n, t)
             key = []
             if n > edge or n * t.denominator > edge * t.numerator:
