@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-#: Trusted documents that the target counts come from, by hash of the id. The raw counts cover all documents.
-MAX_TRUSTED = 20_000
+#: Up to so many trusted ids are broadcast; beyond that texts and ids are shuffled by id. The counts are the same.
+MOST_BROADCAST = 1_000_000
 ALPHA = 1.0
 #: A document whose n-grams are, on average, this much rarer in trusted text than in the corpus is rejected.
 THRESHOLD = -0.5
@@ -62,12 +62,12 @@ def _covered(p: Column) -> Column:
     return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, alpha: float = ALPHA) -> list[float]:
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, most_broadcast: int = MOST_BROADCAST) -> list[float]:
     """Log ratio of every bucket: trusted target over all documents, both with add-alpha smoothing."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # At most max_trusted ids: a bounded broadcast.
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("t", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).join(F.broadcast(trusted), "doc_id", "left")
+    few = trusted.limit(most_broadcast + 1).count() <= most_broadcast
+    trusted = trusted.withColumn("t", F.lit(1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted) if few else trusted, "doc_id", "left").select("t", words(F.col("text")).alias("w"))
     counts = rows.select(F.explode(grams(F.col("w"), buckets)).alias("b"), F.coalesce("t", F.lit(0)).alias("t")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     total = counts.groupBy((F.col("b") >= buckets).alias("second")).agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
     value = F.log((F.col("target") + alpha) / (F.col("n_target") + alpha * buckets)) - F.log((F.col("raw") + alpha) / (F.col("n_raw") + alpha * buckets))
@@ -78,7 +78,7 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trust
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, llr (double) and kept added.
 
     Null text has no words and fails the base rules.  Repeated rows, shared and null
@@ -89,7 +89,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_truste
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*added)
-    ratio = ratios(docs, labels, buckets, max_trusted, alpha)
+    ratio = ratios(docs, labels, buckets, alpha)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
     names = docs.columns
     out = docs.withColumn("w__", words(F.col("text")))
