@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,7 +282,8 @@ def pinball_coverage(spark, d):
 
 def gbt_forecast(spark, d):
     demand, p = _demand(spark, d), _protocol(spark, d)
-    return tidy(learned.boosted_trees(demand, features.catalog(demand, _manifest(demand, p)), p.folds[0], "full", rounds=5, depth=4))
+    codes = features.catalog(demand, _manifest(demand, p))
+    return tidy(reduce(DataFrame.union, (learned.boosted_trees(demand, codes, fold) for fold in p.development)))
 
 
 # --- SQL of the same queries ---
