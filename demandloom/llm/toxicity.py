@@ -6,7 +6,7 @@ mapped to 0..1 by a logistic curve.  Bytes rather than words, so that inflected
 newly coined expressions of a family share evidence.
 
 * The highest order (six bytes) has counts of its own per class, with absolute
-  discounting.  The class models are fitted on a bounded sample of labelled rows
+  discounting by n1 / (n1 + 2 n2), so that a gram seen once keeps evidence.  The class models are fitted on a bounded sample of labelled rows
   (``max_train`` documents a class, by hash of the id), both classes equally large
   so that their backoff masses are alike.
 * What a class has not seen backs off to lower orders that both share: Kneser-Ney
@@ -36,7 +36,8 @@ ORDER = 6
 GRAMS, CONTEXTS, LOW, LOW_CONTEXTS, PIECE = 1 << 21, 1 << 19, 1 << 18, 1 << 16, 1 << 16
 #: Documents of each class that the models are fitted on, and of both that the curve is fitted on.
 MAX_TRAIN, MAX_CURVE = 10_000, 4_000
-DISCOUNT = 1.0
+#: The absolute discount where the counts hold no singletons or no doubletons to estimate it from, and its bounds.
+DISCOUNT, DISCOUNTS = 0.75, (0.1, 0.95)
 #: At least so many bytes count as a text's length, so that a few bytes don't decide.
 LEAST_BYTES = 100
 #: The same for a word, and the log-likelihood differences from which an expression is a strong one.
@@ -122,17 +123,25 @@ def _distinct(bits: np.ndarray) -> np.ndarray:
     return -64 * np.log(np.maximum(64 - set_, 0.5) / 64)
 
 
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2), above 0 and below 1 whatever the counts: what a gram loses to backoff."""
+    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
+    return float(np.clip(n1 / (n1 + 2 * n2), *DISCOUNTS)) if n1 and n2 else DISCOUNT
+
+
 class Model:
     """What scoring needs, as float32 tables."""
 
-    def __init__(self, t: dict[str, np.ndarray], discount: float = DISCOUNT):
+    def __init__(self, t: dict[str, np.ndarray]):
         self.low = _distinct(t["low"]).astype(np.float32)
         self.around = np.maximum(_distinct(t["around"]).reshape(-1, 4).sum(axis=1), 1).astype(np.float32)
         self.gram, self.free = [], []
+        # One discount for both classes, so that the same count weighs the same in both.
+        d = discount(np.concatenate([t["gram0"], t["gram1"]]))
         for c in (0, 1):
             context = np.maximum(t[f"context{c}"].astype(np.float64), 1)
-            self.gram.append((np.maximum(t[f"gram{c}"].astype(np.float64) - discount, 0)).astype(np.float32))
-            self.free.append((context.astype(np.float32), np.where(t[f"context{c}"] > 0, np.minimum(discount * np.maximum(_distinct(t[f"after{c}"]), 1) / context, 1), 1).astype(np.float32)))
+            self.gram.append((np.maximum(t[f"gram{c}"].astype(np.float64) - d, 0)).astype(np.float32))
+            self.free.append((context.astype(np.float32), np.where(t[f"context{c}"] > 0, np.minimum(d * np.maximum(_distinct(t[f"after{c}"]), 1) / context, 1), 1).astype(np.float32)))
 
     def features(self, g: Grams) -> np.ndarray:
         """For each text: the difference of the log-likelihoods per byte of the whole text, the largest one of its

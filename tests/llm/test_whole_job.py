@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandloom.llm import quality_rules
+from demandloom.llm import quality_rules, toxicity
 
 
 def test_quality_rules_count_every_trusted_document(spark):
@@ -19,3 +19,11 @@ def test_quality_rules_broadcast_or_not(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
     got = quality_rules.ratios(docs, labels, buckets=512, most_broadcast=0)
     assert any(got) and got == quality_rules.ratios(docs, labels, buckets=512)
+
+
+def test_toxic_expression_of_a_single_document_is_evidence():
+    counts = toxicity.Counts()
+    texts = [b"a calm day by the river", b"you grumpf blorgh"]
+    counts.add(toxicity.Grams(texts), [0, 1])
+    found = toxicity.Model(counts.t).features(toxicity.Grams(texts[::-1]))
+    assert found[0, 0] > 0 > found[1, 0]
