@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, width: int
     Null and empty texts and texts of white space have no shingles and are linked
     with nothing.  Rows that repeat an id are separate documents; equal texts are
     linked.  A document with a null id is compared like any other and bears the
-    component of its partners, or null.  Other columns are ignored.
+    component of its partners, or null.  Other columns are ignored.  Only links that
+    connect components are computed: neither all linked pairs nor their number is given.
     """
     scratch = Scratch(docs.sparkSession)
     rows, links = classes(docs, scratch, threshold, width, doc_id, text)
