@@ -11,11 +11,18 @@
   sets put their prefix elements into inverted lists, and so do light sets large
   enough to have a heavy partner.  The boundary is where enumerating a set's subsets
   would cost more rows than scanning its lists, whose mean length is measured.
-* Lists are read as a sorted stream.  First every list's members are compared with
-  its leader only; links become components.  Then the lists that still hold more
-  than one component are gone through in full, pairs inside a component left out:
-  they can't change the result, so no link between components is lost and no group
-  of copies is ever expanded into all pairs.
+* Every posting says how many elements of its set stand before the key: if the key is
+  the first that two sets share, these are in one of them only, which bounds the
+  overlap (positional filter).
+* Lists are read as a sorted stream, members with the fewest elements before the key
+  first.  First every list's members are compared with its leader only, the first of
+  about its size: the common original of near copies, which has next to no elements of
+  its own.  Links become components.  Then the lists that still hold more than one
+  component are gone through in full, pairs inside a component left out: they can't
+  change the result, so no link between components is lost and no group of copies is
+  ever expanded into all pairs.  A copy that isn't linked with its original has too
+  many elements of its own to pass the positional filter with other copies, unless it
+  shares some of those with them.
 * A pair is first tested by counts in hashed cells, which bound the symmetric
   difference from below, then exactly on the sets.
 """
@@ -112,13 +119,14 @@ def _rows(columns: list[tuple[str, list[np.ndarray]]]) -> pa.RecordBatch:
 
 
 def _some(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is among ids; broadcast only when they are few enough."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+    """Rows of df whose key is among ids; null keys match, and ids are broadcast only when they are few enough."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(few, df[key].eqNullSafe(few[key]), "left_semi")
 
 
 def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, links): one row (doc_id, n_shingles, class_id) per document, and linked pairs (a, b) of
-    class ids that connect every component of classes."""
+    """(documents, links): one row (doc_id, n, sig) per document, n the size and sig the class of its set (n = 0: none),
+    and linked pairs (a, b) of classes that connect every component of classes."""
     spark, t = docs.sparkSession, threshold
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -147,7 +155,7 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.binary()), pa.array(np.full(len(v), kind, np.int32))], ["doc_id", "n", "sig", "bits", "kind"])
 
     told = scratch.save(docs.mapInArrow(describe, "doc_id long, n long, sig long, bits binary, kind int"))
-    rows = told.where("kind = 0").drop("kind")
+    rows = told.where("kind = 0").drop("kind", "bits")
     hot = told.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT)
     hot = scratch.save(hot.select("doc_id", F.floor(4 * F.log2("c")).cast("int").alias("level")))
     # The most frequent levels that together are few enough, whatever the number of documents.
@@ -165,7 +173,7 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
     edge = boundary((all_ or 0) / max(1, distinct or 1), t)
 
     def postings(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, cids, sizes, seen = [], [], [], set()
+        keys, cids, sizes, skips, before, between, seen = [], [], [], [], [], [], set()
         for _, h in each_text(as_bytes(b.column("text")), lower=True):
             s = shingles(h, width)
             if len(s) < 2:
@@ -181,71 +189,87 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
                 last = s[is_hot]
                 s = np.concatenate((s[~is_hot], last[np.argsort(hot_level[at[is_hot]], kind="stable")]))
             p = prefix_length(n, t)
-            key = []
+            key, skip, back = [], [], np.r_[np.uint64(0), s]  # back[i] stands before s[i]
             if n > edge or n * t.denominator > edge * t.numerator:
                 key.append(s[:p])
+                skip.append(np.arange(p))
+                before.append(back[:p].view(np.int64))
+                between.append(np.r_[np.uint64(0), back[: p - 1]].view(np.int64))
             if n <= edge:
                 i, j = np.triu_indices(min(n, p + 1), 1)
                 low, high = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
                 key.append(mix(low * np.uint64(3) + mix(high)))
+                skip.append(j - 1)
+                before.append(back[i].view(np.int64))
+                between.append(np.where(j - 1 > i, back[j], np.uint64(0)).view(np.int64))
             key = np.concatenate(key)
             keys.append(key.view(np.int64))
+            skips.append(np.concatenate(skip).astype(np.int32))
             cids.append(np.full(len(key), c))
             sizes.append(np.full(len(key), n, np.int32))
         if keys:
-            yield _rows([("key", keys), ("cid", cids), ("n", sizes)])
+            yield _rows([("key", keys), ("cid", cids), ("n", sizes), ("skip", skips), ("before", before), ("between", between)])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # skip: how many elements stand before the key, or between its two; before: the last that stands before it;
+    # between: the one before the second element of a pair, unless that is its first, or, for single elements, the
+    # last but one before it. 0: none.
+    posting = "key long, cid long, n int, skip int, before long, between long"
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by (key, n, cid). Keeps postings of lists with two classes at least, each with its leader:
-        the smallest set of the list that is not too small to be linked with it."""
-        held: pa.RecordBatch | None = None
-        leader: tuple[int, int, int] | None = None
+        """Sorted by (key, skip, n, cid). Keeps postings of lists with two classes at least, each with its leader:
+        the first member of the list whose size allows a link with it. A member that begins with few
+        elements of its own comes first, so a group's common original leads its copies."""
+        held: list[np.ndarray] | None = None
+        state: tuple[int, list[tuple[int, int, int]]] | None = None  # the last list's key and its leaders
         for b in batches:
-            k, c, n = (b.column(x).to_numpy() for x in ("key", "cid", "n"))
+            rows = [b.column(x).to_numpy() for x in ("key", "cid", "n", "skip", "before", "between")]
             if held is not None:
-                k, c, n = (np.concatenate((h, x)) for h, x in zip(held, (k, c, n), strict=True))
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            k, c = rows[:2]
             keep = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-            k, c, n = k[keep], c[keep], n[keep]
-            held = (k[-1:], c[-1:], n[-1:])  # its list may go on
-            yield from lead(k[:-1], c[:-1], n[:-1], (k[-1], c[-1]))
+            rows = [x[keep] for x in rows]
+            held = [x[-1:] for x in rows]  # its list may go on
+            got, state = lead(*(x[:-1] for x in rows), rows[0][-1], state)
+            if got is not None:
+                yield got
         if held is not None:
-            yield from lead(*held, None)
+            got, _ = lead(*held, None, state)
+            if got is not None:
+                yield got
 
-    def lead(k, c, n, after):
+    def lead(k, c, n, skip, before, between, after, state):
         if not len(k):
-            return
-        state = lead.state
-        new = np.r_[state is None or k[0] != state[0], k[1:] != k[:-1]]
-        first = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        multi = np.r_[k[1:] == k[:-1], after is not None and after[0] == k[-1]] | ~new
-        lk, ln = np.empty_like(c), np.empty_like(n)
-        if new[0]:
-            lk[:], ln[:] = c[first][run], n[first][run]
-        else:  # the first rows go on with the last list
-            lk[:], ln[:] = np.r_[state[1], c[first]][run + 1], np.r_[state[2], n[first]][run + 1]
-        # Members too large for the leader start anew from the first such member.
-        far = ln.astype(np.int64) * t.denominator < n.astype(np.int64) * t.numerator
-        while far.any():
-            at = np.flatnonzero(far)
-            start = at[np.r_[True, (k[at][1:] != k[at][:-1])]]
-            which = np.searchsorted(start, at, "right") - 1
-            lk[at], ln[at] = c[start][which], n[start][which]
-            far = ln.astype(np.int64) * t.denominator < n.astype(np.int64) * t.numerator
-        lead.state = (k[-1], lk[-1], ln[-1])
-        if multi.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (k, c, n, lk)], ["key", "cid", "n", "leader"])
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead.state = None
-        yield from lists(batches)
-
-    posted = map_batches(docs, postings, "key long, cid long, n int").repartition(parts, "key").sortWithinPartitions("key", "n", "cid")
-    shared = scratch.save(posted.mapInArrow(stream, "key long, cid long, n int, leader long"))
-
-    one = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+            return None, state
+        goes_on = state is not None and k[0] == state[0]
+        new = np.r_[not goes_on, k[1:] != k[:-1]]
+        multi = np.r_[k[1:] == k[:-1], after == k[-1]] | ~new
+        leader = np.zeros((3, len(k)), np.int64)
+        size_ok = lambda x, y: (x * t.denominator >= y * t.numerator) & (y * t.denominator >= x * t.numerator)
+        big, free, leaders = n.astype(np.int64), np.ones(len(k), bool), list(state[1]) if goes_on else []
+        for one in leaders:
+            at = np.flatnonzero(free & (k == k[0]))
+            at = at[size_ok(big[at], one[1])]
+            leader[:, at], free[at] = np.array(one)[:, None], False
+        if k[-1] != k[0]:
+            leaders = []
+        # Leaders of a list differ by a quarter in size, so this takes few turns.
+        while free.any():
+            at = np.flatnonzero(free)
+            first = at[np.r_[True, k[at][1:] != k[at][:-1]]]
+            mine = first[np.searchsorted(first, at, "right") - 1]
+            ok = size_ok(big[at], big[mine])
+            leader[:, at[ok]], free[at[ok]] = np.stack([c[mine[ok]], big[mine[ok]], skip[mine[ok]]]), False
+            if k[first[-1]] == k[-1]:
+                leaders.append((int(c[first[-1]]), int(big[first[-1]]), int(skip[first[-1]])))
+        ok = np.minimum(big - skip, leader[1] - leader[2]) * (t.numerator + t.denominator) >= (big + leader[1]) * t.numerator
+        out = pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in (k, c, n, skip, before, between, leader[0], ok)], ["key", "cid", "n", "skip", "before", "between", "leader", "ok"])
+        return (out if multi.any() else None), (k[-1], leaders)
+
+    posted = map_batches(docs, postings, posting).repartition(parts, "key").sortWithinPartitions("key", "skip", "n", "cid")
+    shared = scratch.save(posted.mapInArrow(lists, f"{posting}, leader long, ok boolean"))
+
+    one = told.where("kind = 0 AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n").alias("n"))
     one = scratch.save(one)
     scratch.release()
 
@@ -286,35 +310,36 @@ def classes(docs: DataFrame, scratch: Scratch, threshold: Fraction = THRESHOLD,
         scratch.release()
         return out
 
-    star = shared.where("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    star = shared.where("leader <> cid").groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.max("ok").alias("ok"))
     star = scratch.save(star)
-    links = linked(star)
+    links = linked(star.where("ok").select("a", "b"))
     comp = scratch.save(components(links, scratch))
     label = lambda df, c: df.join(comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
     # Lists with more than one component: some member isn't in its leader's, or there is more than one leader.
     parted = label(label(star, "a"), "b").where("a_comp <> b_comp").select(F.col("a").alias("leader"), F.col("b").alias("cid"))
     keys = shared.join(parted, ["leader", "cid"], "left_semi").select("key").union(shared.groupBy("key").agg(F.min("leader").alias("x"), F.max("leader").alias("y")).where("x <> y").select("key")).distinct()
-    members = scratch.save(label(shared.join(keys, "key", "left_semi").select("key", "cid", "n"), "cid"))
+    members = scratch.save(label(shared.join(keys, "key", "left_semi").drop("leader", "ok"), "cid"))
     scratch.drop(shared, comp)
     scratch.release()
     counts = members.groupBy("key", "cid_comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max(F.struct("c", "cid_comp"))["cid_comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    other = members.select("key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("cid_comp").alias("b_comp"))
-    minor = members.join(largest, "key").where("cid_comp <> major").select("key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("cid_comp").alias("a_comp"), "major")
+    named = lambda x: ["key", F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "skip", "before", "between")), F.col("cid_comp").alias(f"{x}_comp")]
+    other = members.select(*named("b"))
+    minor = members.join(largest, "key").where("cid_comp <> major").select(*named("a"), "major")
     size_ok = f"n_a * {t.denominator} >= n_b * {t.numerator} AND n_b * {t.denominator} >= n_a * {t.numerator}"
-    cross = minor.join(other, "key").where(f"a_comp <> b_comp AND (b_comp = major OR a < b) AND {size_ok}")
+    # What stands before a pair's first common key is in one set only.
+    room_ok = f"least(n_a - skip_a, n_b - skip_b) * {t.numerator + t.denominator} >= (n_a + n_b) * {t.numerator}"
+    # Among these an equal one is a common element before: the pair meets under an earlier key, too.
+    first = "NOT (before_a <> 0 AND before_a IN (before_b, between_b)) AND NOT (between_a <> 0 AND between_a IN (before_b, between_b))"
+    cross = minor.join(other, "key").where(f"a_comp <> b_comp AND (b_comp = major OR a < b) AND {size_ok} AND {room_ok} AND {first}")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = star.where("ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = scratch.save(cross.join(tried, ["a", "b"], "left_anti"))
     scratch.drop(members, star)
     scratch.release()
     more = linked(cross)
     scratch.drop(cross)
-    # Class ids become smallest doc_ids.
-    name = one.select("sig", F.col("doc_id").alias("class_id"))
-    every = links.union(more)
-    named = every.join(name.select(F.col("sig").alias("a"), F.col("class_id").alias("x")), "a").join(name.select(F.col("sig").alias("b"), F.col("class_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return rows.join(name, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), named
+    return rows, links.union(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,14 +347,18 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, width: int
 
     Null and empty texts and texts of white space have no shingles and are linked
     with nothing.  Rows that repeat an id are separate documents; equal texts are
-    linked.  A document with a null id is compared like any other and bears the
-    component of its partners, or null.  Other columns are ignored.  Only links that
+    linked.  A document with a null id is compared like any other, links that lead
+    through it count, and it bears the component of its partners, or null.  An empty
+    table gives an empty result.  Other columns are ignored.  Only links that
     connect components are computed: neither all linked pairs nor their number is given.
     """
     scratch = Scratch(docs.sparkSession)
     rows, links = classes(docs, scratch, threshold, width, doc_id, text)
+    # Components of classes; each bears its smallest doc_id.
     comp = scratch.save(components(scratch.save(links), scratch))
-    out = rows.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    out = scratch.save(out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(comp.select(F.col("id").alias("sig"), "component"), "sig", "left")
+    rows = scratch.save(rows.select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("group")))
+    low = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
+    out = scratch.save(rows.join(low, "group", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id")))
     scratch.drop_others(out)
     return out
