@@ -18,15 +18,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset, one of our own (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own if all run on this machine (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", place)
         atexit.register(shutil.rmtree, place, ignore_errors=True)
     return place
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of df bears them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
