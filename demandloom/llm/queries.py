@@ -70,30 +70,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op9_chat_formatting, op10_quality_rules)}
 
 
-#: Every user turn calls ``reply``; an assistant turn answers the turn before it.
+#: plain_parts() and link() once more; walk has every path along what parts need, up to one that meets a place twice.
 _CHAT_SQL = r"""
-WITH p AS (
-  SELECT conv_id, turn, role, text,
-    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN CAST(turn AS VARCHAR) WHEN 'assistant' THEN CAST(turn - 1 AS VARCHAR) END AS call_id
+WITH RECURSIVE p AS (
+  SELECT conv_id, turn, role, text, CAST('0x' || substr(md5(coalesce(text, '')), 1, 6) AS BIGINT) AS code, coalesce(length(text), 0) AS size,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind
   FROM conversations
-), f AS (SELECT conv_id, call_id, kind, min(turn) AS first_turn FROM p WHERE call_id IS NOT NULL AND kind <> 'message' GROUP BY ALL),
-m AS (
-  SELECT p.*, o.first_turn AS own, x.first_turn AS mate FROM p
-  LEFT JOIN f o ON p.conv_id = o.conv_id AND p.call_id = o.call_id AND p.kind = o.kind
-  LEFT JOIN f x ON p.conv_id = x.conv_id AND p.call_id = x.call_id AND p.kind <> x.kind
+), q AS (
+  SELECT *, CAST(CASE WHEN role = 'user' AND code % 11 = 0 THEN turn - 2 WHEN role = 'user' THEN turn WHEN role = 'assistant' THEN turn - 1 END AS VARCHAR) AS call_id,
+    CAST(CASE WHEN role = 'user' AND code % 7 = 0 THEN turn + 2 WHEN role = 'user' AND code % 3 <> 0 THEN turn - 2 END AS VARCHAR) AS needed
+  FROM p
+), ends AS (
+  SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_at, min(turn) FILTER (kind = 'result') AS result_at
+  FROM q WHERE call_id IS NOT NULL AND kind <> 'message' GROUP BY ALL
+), m AS (
+  SELECT q.*, CASE kind WHEN 'call' THEN call_at WHEN 'result' THEN result_at END AS own, CASE kind WHEN 'call' THEN result_at WHEN 'result' THEN call_at END AS mate
+  FROM q LEFT JOIN ends USING (conv_id, call_id)
+), need AS (
+  SELECT conv_id, turn AS v, mate AS u FROM m WHERE kind = 'result' AND own = turn AND mate IS NOT NULL
+  UNION SELECT m.conv_id, turn, result_at FROM m JOIN ends e ON m.conv_id = e.conv_id AND m.needed = e.call_id WHERE kind = 'call' AND own = turn AND e.result_at IS NOT NULL
+), late AS (SELECT DISTINCT conv_id FROM need WHERE u >= v),
+edge AS (SELECT * FROM need SEMI JOIN late USING (conv_id)),
+size AS (SELECT conv_id, count(DISTINCT turn) AS places FROM conversations GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, v, u, CAST(1 AS BIGINT) AS steps FROM edge
+  UNION SELECT w.conv_id, w.v, n.u, w.steps + 1 FROM walk w JOIN edge n ON w.conv_id = n.conv_id AND w.u = n.v JOIN size s ON w.conv_id = s.conv_id WHERE w.steps < s.places
+), state AS (
+  SELECT w.conv_id, v AS turn, max(struct_pack(t := u, l := steps)) AS far, bool_or(steps >= places) AS cyclic FROM walk w JOIN size USING (conv_id) GROUP BY ALL
 )
-SELECT conv_id, turn, kind, call_id,
-  coalesce(own = turn AND mate IS NOT NULL, false) AS linked, coalesce(own <> turn, false) AS duplicate,
-  CASE WHEN kind = 'call' THEN text IS NOT NULL END AS valid_arguments,
-  turn AS order_turn, CAST(0 AS BIGINT) AS order_level, false AS cyclic,
+SELECT m.conv_id, m.turn, kind, call_id,
+  coalesce(own = m.turn AND mate IS NOT NULL, false) AS linked, coalesce(own <> m.turn, false) AS duplicate,
+  CASE WHEN kind = 'call' THEN text IS NOT NULL AND (code % 13 <> 0) END AS valid_arguments,
+  CASE WHEN NOT cyclic AND far.t >= m.turn THEN far.t ELSE m.turn END AS order_turn,
+  CASE WHEN NOT cyclic AND far.t >= m.turn THEN far.l ELSE 0 END AS order_level, coalesce(cyclic, false) AS cyclic,
   CASE kind
-    WHEN 'call' THEN '{"role":' || to_json(role) || ',"tool_call":{"arguments":{"prompt":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply"}}'
+    WHEN 'call' THEN '{"role":' || to_json(role) || ',"tool_call":{"arguments":{"options":{"fields":[true,{"a":null,"b":1.5}],"size":' || size || '},"pages":' || (size // 2) || CASE WHEN size % 2 = 1 THEN '.5' ELSE '' END
+      || ',"prompt":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || CASE WHEN code % 13 = 0 THEN '"0' || m.turn || '"' ELSE CAST(m.turn AS VARCHAR) END || '},"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null') || ',"name":"reply"}}'
     WHEN 'result' THEN '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || ',"tool_call_id":' || to_json(call_id) || '}'
-    ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || to_json(role) || '}' END AS json
-FROM m
+    ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' END AS json
+FROM m LEFT JOIN state s ON m.conv_id = s.conv_id AND m.turn = s.turn
 """
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op9_chat_formatting": _CHAT_SQL}
