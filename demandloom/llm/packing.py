@@ -6,7 +6,8 @@
    sequence of its own.  Each shard is evolved by several islands: a genome is a
    set of bins; crossover injects whole well-filled bins of one parent into the
    other, bins that now hold an item twice are dissolved, and displaced items
-   return by best fit.  After each epoch every island receives its neighbour's
+   return by best fit, after one or two items of a bin have given way to a displaced
+   one that fills it better.  After each epoch every island receives its neighbour's
    elite genome.  An island stops early once it meets the lower bound.
 3. The best genome of each shard places the pieces.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, map_batches
+from ._shared import Scratch, fresh, map_batches
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
@@ -55,21 +56,38 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tok, self.memo, self.older = Tokenizer.from_file(path), {}, {}
-        self.tok.encode_special_tokens = True
+        #: Texts that hold one of these are tokenised whole, as the library treats them.
+        added = self.tok.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        #: An added token that takes no white space around it: text on both sides of it is tokenised apart.
+        self.border = next(((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As _plain, many words in one call of the library, which takes far longer to begin than for a word."""
+        if self.border is None:
+            return self._plain(words)
+        token, mark = self.border
+        runs = [mark.join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for ids in self._plain(runs):
+            x = np.frombuffer(ids, "<u4")
+            cuts = np.flatnonzero(x == token)
+            out += [ids[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1)], [*cuts, len(x)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            run = [None if _ODD.search(t) else _WORD.findall(t) for t in texts[at : at + 64]]
+            run = [None if _ODD.search(t) or any(a in t for a in self.added) else _WORD.findall(t) for t in texts[at : at + 64]]
             if len(self.memo) > MEMO_WORDS:
                 self.memo, self.older = {}, self.memo
             memo, older = self.memo, self.older
             new = {w for words in run if words for w in words if w not in memo}
             memo.update((w, older[w]) for w in new if w in older)
             new = [w for w in new if w not in older]
-            memo.update(zip(new, self._plain(new), strict=True))
+            memo.update(zip(new, self._words(new), strict=True))
             for t, words in zip(texts[at : at + 64], run, strict=True):
                 yield self._plain([t])[0] if words is None else b"".join(map(memo.__getitem__, words))
 
@@ -83,7 +101,9 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     """Rows (doc_id, piece, start, length, ids_crc32): every document's ids and end id, cut only if longer than ``capacity``.
 
     Null text counts as empty (one piece, the end id); rows with the same or a
-    null id are separate documents.
+    null id are separate documents; an empty table gives an empty result.  Strings
+    that are added tokens of the tokenizer get their ids, as in the library.  Other
+    columns are left out.
     """
     end = np.array([end_id], "<u4").tobytes()
     id_type = df.schema[doc_id].dataType.simpleString()
@@ -135,6 +155,26 @@ def _best_fit(sizes: list[int], items: list[int], bins: list[list[int]], fills:
             insort(room, (left - sizes[i], b))
 
 
+def _replace(sizes: list[int], displaced: list[int], bins: list[list[int]], fills: list[int], capacity: int) -> list[int]:
+    """One or two items of a bin give way to a displaced one that fills it better; what is displaced then."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for b, items in enumerate(bins):
+        if not free or len(items) > 8:
+            continue
+        small = sorted(items, key=lambda i: sizes[i])
+        for out in [*((i,) for i in small), *((i, j) for k, i in enumerate(small) for j in small[k + 1 :])]:
+            taken = sum(sizes[i] for i in out)
+            at = bisect_left(free, (taken + capacity - fills[b] + 1, -1)) - 1
+            if at >= 0 and free[at][0] > taken:
+                size, i = free.pop(at)
+                bins[b] = [x for x in items if x not in out] + [i]
+                fills[b] += size - taken
+                for x in out:
+                    insort(free, (sizes[x], x))
+                break
+    return [i for _, i in free]
+
+
 def _genome(bins: list[list[int]], n: int) -> np.ndarray:
     out = np.zeros(n, np.int32)
     for b, items in enumerate(bins):
@@ -173,6 +213,7 @@ def _cross(a: np.ndarray, b: np.ndarray, sizes: list[int], capacity: int, rng: n
     for x in kept[: len(kept) - drop]:
         bins.append(list(x))
         fills.append(sum(sizes[i] for i in x))
+    displaced = _replace(sizes, displaced, bins, fills, capacity)
     _best_fit(sizes, displaced, bins, fills, capacity)
     return _genome(bins, len(a))
 
@@ -228,10 +269,11 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     scratch = Scratch(spark)
     # The written table is read in a fixed order, so row numbers are the same in every run of a task.
     base = scratch.save(placed.drop("sequence_id", "offset"))
+    row_no, shard = fresh(base, "row_no", "shard")
     shards = max(1, -(-base.where(F.col("length") < capacity).count() // shard_items))
-    base = base.withColumn("row_no__", F.monotonically_increasing_id())
-    full = base.where(F.col("length") >= capacity).select("*", (-1 - F.col("row_no__")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("row_no__")
-    open_ = base.where(F.col("length") < capacity).withColumn("shard__", F.pmod(F.xxhash64("row_no__"), F.lit(shards)))
+    base = base.withColumn(row_no, F.monotonically_increasing_id())
+    full = base.where(F.col("length") >= capacity).select("*", (-1 - F.col(row_no)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop(row_no)
+    open_ = base.where(F.col("length") < capacity).withColumn(shard, F.pmod(F.xxhash64(row_no), F.lit(shards)))
 
     def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = np.sort(pdf["length"].to_numpy())[::-1].astype("<i4")
@@ -241,24 +283,24 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
             rows.append((int(key[0]), island, sizes.tobytes(), [g.astype("<i4").tobytes() for g in got]))
             if int(got[0].max()) + 1 <= lower_bound(sizes, capacity):
                 break  # the other islands can't do better
-        return pd.DataFrame(rows, columns=["shard__", "island", "sizes", "genomes"])
+        return pd.DataFrame(rows, columns=["shard", "island", "sizes", "genomes"])
 
     def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         sizes, known = _sizes(r["sizes"]), [np.frombuffer(g, "<i4") for g in [*r["genomes"], *([r["elite"]] if r["elite"] else [])]]
-        got = evolve(sizes, capacity, seed + 1000 * int(r["shard__"]) + 100 * int(r["epoch"]) + int(r["island"]), known, generations, population)
-        return pd.DataFrame([(int(r["shard__"]), int(r["island"]), r["sizes"], [g.astype("<i4").tobytes() for g in got])], columns=["shard__", "island", "sizes", "genomes"])
+        got = evolve(sizes, capacity, seed + 1000 * int(r["shard"]) + 100 * int(r["epoch"]) + int(r["island"]), known, generations, population)
+        return pd.DataFrame([(int(r["shard"]), int(r["island"]), r["sizes"], [g.astype("<i4").tobytes() for g in got])], columns=["shard", "island", "sizes", "genomes"])
 
-    state = "shard__ long, island int, sizes binary, genomes array<binary>"
-    pop = scratch.save(open_.select("shard__", "length").repartition(tasks(shards), "shard__").groupBy("shard__").applyInPandas(start, state))
+    state = "shard long, island int, sizes binary, genomes array<binary>"
+    pop = scratch.save(open_.select(F.col(shard).alias("shard"), "length").repartition(tasks(shards), "shard").groupBy("shard").applyInPandas(start, state))
     for epoch in range(1, epochs):
         # Elite migration on a ring: each island gets the best genome of the one before it.
-        elite = pop.select("shard__", ((F.col("island") + 1) % islands).alias("island"), F.col("genomes")[0].alias("elite"))
-        moved = pop.join(elite, ["shard__", "island"], "left").withColumn("epoch", F.lit(epoch))
-        pop = scratch.save(moved.repartition(tasks(shards * islands), "shard__", "island").groupBy("shard__", "island").applyInPandas(again, state))
+        elite = pop.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("genomes")[0].alias("elite"))
+        moved = pop.join(elite, ["shard", "island"], "left").withColumn("epoch", F.lit(epoch))
+        pop = scratch.save(moved.repartition(tasks(shards * islands), "shard", "island").groupBy("shard", "island").applyInPandas(again, state))
 
     def place(key: tuple, items: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["length", "row_no__"], ascending=[False, True], kind="stable")
+        items = items.sort_values(["length", row_no], ascending=[False, True], kind="stable")
         sizes = items["length"].to_numpy()
         best = max((np.frombuffer(g, "<i4") for x in found["genomes"] for g in x), key=lambda g: (-int(g.max()), fitness(g, sizes, capacity)))
         order = np.argsort(best, kind="stable")
@@ -268,7 +310,7 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
         begin = np.maximum.accumulate(np.where(first, filled - sizes[order], 0))
         offset = np.empty(len(items), np.int64)
         offset[order] = filled - sizes[order] - begin
-        return items.assign(sequence_id=int(key[0]) * (1 << 20) + best.astype(np.int64), offset=offset).drop(columns=["row_no__", "shard__"])
+        return items.assign(sequence_id=int(key[0]) * (1 << 20) + best.astype(np.int64), offset=offset).drop(columns=[row_no, shard])
 
-    out = open_.groupBy("shard__").cogroup(pop.groupBy("shard__")).applyInPandas(place, full.schema)
+    out = open_.groupBy(shard).cogroup(pop.groupBy("shard")).applyInPandas(place, full.schema)
     return full.unionByName(out)
