@@ -9,8 +9,8 @@ that repeat in another document are extended to twice that length.
   chosen ones (about 2 in ``window // 2``) are counted.
 * Level 2 extends the survivors to target length.  Within a batch every window
   is settled at once against the batch's smallest document, so a window leaves a
-  batch at most once however many documents hold it; the rest are sorted by hash
-  and read as a stream that keeps one document per window.
+  batch at most once however many documents hold it; the rest are held against the
+  smallest document of their hash.
 * Doubling ends at the target length, where removal is defined, or as soon as no
   candidate survives.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, as_bytes, map_batches
+from ._shared import Scratch, as_bytes, fresh, map_batches
 from ._words import each_text, window_hashes
 
 WINDOW = 50
@@ -81,7 +81,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
             yield _batch({k: np.concatenate(v) for k, v in out.items()})
 
     # n > 0: the whole document; n = 0: a chosen short window.
-    marks = map_batches(docs, level1, "h long, doc_id long, n long")
+    marks = scratch.save(map_batches(docs, level1, "h long, doc_id long, n long"))
     repeated = marks.groupBy("h", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     # A document's surviving marks; first: no smaller document has the same words.
     alive = marks.join(repeated, ["h", "n"]).groupBy("doc_id").agg(
@@ -89,6 +89,8 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
         F.collect_list(F.when(F.col("n") == 0, F.col("h"))).alias("short"),
     )
     alive = scratch.save(alive)
+    scratch.drop(marks)
+    scratch.release()
     state = alive.agg(F.count("*")).first()[0]
     empty = spark.createDataFrame([], "doc_id long, spans array<struct<seq:long,start:int,length:int>>")
     if not state:
@@ -131,32 +133,17 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
             d, q, s, n = (np.array(x) for x in zip(*done, strict=True))
             yield _batch({"h": pa.array((q ^ s).astype(np.int64)), "doc_id": pa.array(d.astype(np.int64)), "seq": pa.array(q.astype(np.int64)), "start": pa.array(s.astype(np.int32)), "length": pa.array(n.astype(np.int32))})
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (h, doc_id): one document is kept per window from one batch to the next."""
-        last_h, last_d = None, None
-        for b in batches:
-            h, d, n = (b.column(c).to_numpy() for c in ("h", "doc_id", "length"))
-            open_ = np.flatnonzero(n == 0)
-            gone = n > 0
-            if len(open_):
-                ho, do = h[open_], d[open_]
-                new = np.ones(len(ho), bool)
-                new[1:] = ho[1:] != ho[:-1]
-                low = do.copy()
-                if last_h is not None and ho[0] == last_h:
-                    new[0], low[0] = True, last_d
-                low = low[new][np.cumsum(new) - 1]
-                gone[open_] = do > low
-                last_h, last_d = ho[-1], low[-1]
-            got = b.filter(pa.array(gone))
-            if got.num_rows:
-                length = np.where(n[gone] > 0, n[gone], window).astype(np.int32)
-                yield _batch({"doc_id": got.column("doc_id"), "seq": got.column("seq"), "start": got.column("start"), "length": pa.array(length)})
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wide = map_batches(docs.join(alive, "doc_id"), level2, "h long, doc_id long, seq long, start int, length int")
-    spans = wide.repartition(parts, "h").sortWithinPartitions("h", "doc_id").mapInArrow(settle, "doc_id long, seq long, start int, length int")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "length")).alias("spans"))
+    # Written before the next shuffles, so that those of the texts don't add up.
+    wide = scratch.save(map_batches(docs.join(alive, "doc_id"), level2, "h long, doc_id long, seq long, start int, length int"))
+    scratch.release()
+    # The smallest document of each window is found by partial minima, so a window that many documents hold is no hot key.
+    open_ = wide.where("length = 0")
+    low = open_.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "low")
+    later = open_.join(low, "h").where("doc_id > low").select("doc_id", "seq", "start", F.lit(window).alias("length"))
+    spans = later.union(wide.where("length > 0").select("doc_id", "seq", "start", "length"))
+    spans = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "length")).alias("spans")))
+    scratch.drop_others(spans)
+    return spans
 
 
 def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,13 +155,14 @@ def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
     Existing columns of the three names are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    spans = covered_spans(docs, window, doc_id, text).select(F.col("doc_id").alias("span_id__"), F.col("spans").alias("spans__"))
-    joined = docs.join(spans, docs[doc_id].cast("long") == spans["span_id__"], "left").drop("span_id__")
+    span_id, held = fresh(docs, "span_id", "spans")
+    spans = covered_spans(docs, window, doc_id, text).select(F.col("doc_id").alias(span_id), F.col("spans").alias(held))
+    joined = docs.join(spans, docs[doc_id].cast("long") == spans[span_id], "left").drop(span_id)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, n_words long, n_removed long, kept_sha256 string"
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         kept_text, n_words, n_removed, digests = [], [], [], []
-        for raw, spans in zip(as_bytes(b.column(text)), b.column("spans__").to_pylist(), strict=True):
+        for raw, spans in zip(as_bytes(b.column(text)), b.column(held).to_pylist(), strict=True):
             words = (raw or b"").split()
             keep = None
             if spans:
@@ -194,8 +182,8 @@ def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
                 kept_text.append(b" ".join(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         new = {text: pa.array(kept_text, pa.binary()).cast(pa.string())}
-        columns = [new.get(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != "spans__"]
-        names = [f.name for f in b.schema if f.name != "spans__"]
+        columns = [new.get(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != held]
+        names = [f.name for f in b.schema if f.name != held]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)], [*names, "n_words", "n_removed", "kept_sha256"])
 
     return map_batches(joined, cut, schema)
