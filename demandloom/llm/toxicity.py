@@ -12,10 +12,13 @@ newly coined expressions of a family share evidence.
 * What a class has not seen backs off to lower orders that both share: Kneser-Ney
   continuation counts over *all* documents.  A rare expression that neither class
   has seen thus says nothing about toxicity.
-* All tables are hashed and of fixed size.  Distinct contexts are counted by linear
-  counting in bitmaps, which merge by OR; counts merge by addition.  Tasks emit
-  compressed pieces of the tables, which are merged by piece: nothing grows with
-  the vocabulary, and the driver gets the finished tables only.
+* All tables are hashed.  Distinct contexts are counted by linear counting in bitmaps,
+  which merge by OR; counts merge by addition.  If more than ``MOST_LOAD`` of a
+  table's cells are in use, the tables are made four times as large and counted
+  again, so that unlike grams seldom meet whatever the vocabulary.
+* Tasks emit compressed pieces of the tables, which are merged piece by piece in
+  sorted streams, first by salt, then all: no task holds more than a batch of pieces,
+  however many tasks there are, and the driver gets the finished tables only.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, remainder, training_rows
+from ._shared import as_bytes, in_parts, remainder, training_rows
 from ._words import chunks, mix
 
 ORDER = 6
-GRAMS, CONTEXTS, LOW, LOW_CONTEXTS, PIECE = 1 << 21, 1 << 19, 1 << 18, 1 << 16, 1 << 16
+GRAMS, CONTEXTS, LOW, LOW_CONTEXTS, PIECE = 1 << 21, 1 << 19, 1 << 18, 1 << 16, 1 << 13
+#: Share of cells in use beyond which tables grow, and salts of the first merge.
+MOST_LOAD, SALTS = 0.5, 64
 #: Documents of each class that the models are fitted on, and of both that the curve is fitted on.
 MAX_TRAIN, MAX_CURVE = 10_000, 4_000
 #: The absolute discount where the counts hold no singletons or no doubletons to estimate it from, and its bounds.
@@ -43,8 +47,17 @@ LEAST_BYTES = 100
 #: The same for a word, and the log-likelihood differences from which an expression is a strong one.
 LEAST_WORD_BYTES, STRONG = 6, (2.5, 5.0)
 
-#: (table, entries, merged by OR). low: left neighbours of a 4-gram; around: neighbours on both sides of a 3-gram (4 words of bits each).
-TABLES = [("low", LOW, True), ("around", 4 * LOW_CONTEXTS, True)] + [(f"{name}{c}", size, ored) for c in (0, 1) for name, size, ored in (("gram", GRAMS, False), ("context", CONTEXTS, False), ("after", CONTEXTS, True))]
+
+
+def tables(scale: int = 1) -> list[tuple[str, int, bool]]:
+    """(table, entries, merged by OR). low: left neighbours of a 4-gram; around: neighbours on both sides of a 3-gram (4 words of bits each)."""
+    own = [(f"{name}{c}", size * scale, ored) for c in (0, 1) for name, size, ored in (("gram", GRAMS, False), ("context", CONTEXTS, False), ("after", CONTEXTS, True))]
+    return [("low", LOW * scale, True), ("around", 4 * LOW_CONTEXTS * scale, True), *own]
+
+
+def load(t: dict[str, np.ndarray]) -> float:
+    """The largest share of cells in use."""
+    return max(float((t[name].reshape(-1, 4 if name == "around" else 1).any(axis=1)).mean()) for name in t if name != "after0" and name != "after1")
 
 
 def _cell(x: np.ndarray, size: int) -> np.ndarray:
@@ -54,7 +67,7 @@ def _cell(x: np.ndarray, size: int) -> np.ndarray:
 class Grams:
     """Cells of every position of a run of texts that ends a gram of ORDER bytes inside one text."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], scale: int = 1):
         # Each text stands after ORDER - 1 zero bytes, so that its first bytes have contexts too.
         pad = bytes(ORDER - 1)
         buf = np.frombuffer(b"".join(pad + t.lower() for t in texts), np.uint8).astype(np.uint64)
@@ -70,8 +83,8 @@ class Grams:
         gram = gram[np.cumsum(keep)[:n] > 0]
         self.first = np.r_[0, np.cumsum(self.length)]
         low4, low3 = gram & np.uint64(0xFFFFFFFF), (gram >> np.uint64(8)) & np.uint64(0xFFFFFF)
-        self.gram, self.context = _cell(gram, GRAMS), _cell(gram >> np.uint64(8), CONTEXTS)
-        self.low, self.around = _cell(low4, LOW), _cell(low3, LOW_CONTEXTS)
+        self.gram, self.context = _cell(gram, GRAMS * scale), _cell(gram >> np.uint64(8), CONTEXTS * scale)
+        self.low, self.around = _cell(low4, LOW * scale), _cell(low3, LOW_CONTEXTS * scale)
         self.next, self.left = gram & np.uint64(0xFF), (gram >> np.uint64(32)) & np.uint64(0xFF)
 
 
@@ -82,8 +95,8 @@ def _bit(x: np.ndarray) -> np.ndarray:
 class Counts:
     """Tables of one task."""
 
-    def __init__(self):
-        self.t = {name: np.zeros(size, np.uint64) for name, size, _ in TABLES}
+    def __init__(self, scale: int = 1):
+        self.t = {name: np.zeros(size, np.uint64) for name, size, _ in tables(scale)}
 
     def add(self, g: Grams, labels: list[int | None]) -> None:
         """Texts, and for each its label if it is a training text."""
@@ -100,21 +113,29 @@ class Counts:
                 np.bitwise_or.at(self.t[f"after{y}"], g.context[s], _bit(g.next[s]))
 
     def pieces(self) -> Iterator[tuple[str, int, bytes]]:
-        for name, size, _ in TABLES:
-            for at in range(0, size, PIECE):
+        for name in self.t:
+            for at in range(0, len(self.t[name]), PIECE):
                 x = self.t[name][at : at + PIECE]
                 if x.any():
                     yield name, at, zlib.compress(x.tobytes(), 1)
 
 
-def merge(name: str, parts: list[bytes]) -> bytes:
-    """One piece from those of several tasks."""
-    ored = next(o for n, _, o in TABLES if n == name)
-    total = None
-    for p in parts:
-        x = np.frombuffer(zlib.decompress(p), np.uint64)
-        total = x.copy() if total is None else (total | x if ored else total + x)
-    return zlib.compress(total.tobytes(), 1)
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One piece from each run of equal (name, at)."""
+    ored = {name for name, _, o in tables() if o}
+    key, total = None, np.zeros(0, np.uint64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["name", "at", "data"])
+    for b in batches:
+        for name, at, data in zip(*(b.column(c) for c in ("name", "at", "data")), strict=True):
+            x = np.frombuffer(zlib.decompress(data.as_py()), np.uint64)
+            if key == (name.as_py(), at.as_py()):
+                total = total | x if key[0] in ored else total + x
+            else:
+                if key:
+                    yield out()
+                key, total = (name.as_py(), at.as_py()), x
+    if key:
+        yield out()
 
 
 def _distinct(bits: np.ndarray) -> np.ndarray:
@@ -197,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     Null and empty texts get the score of a text that speaks for neither class.
     Null ids, repeated rows and unlabelled documents are scored like any other; an
     empty table gives an empty result.  Without labels of both classes every score
-    is the same.  Only id and text of documents are read.
+    is the same.  Only id and text of documents are read; ids must be castable to bigint.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -211,32 +232,39 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     test = {i: y for y in by for i in by[y] if fold[i]}
     train_ref = spark.sparkContext.broadcast(train)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, some = Counts(), False
-        for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for at, run in chunks(as_bytes(b.column("text"))):
-                some = True
-                counts.add(Grams(run), [train_ref.value.get(i) for i in ids[at : at + len(run)]])
-        if some:
-            got = list(counts.pieces())
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], ["name", "at", "data"])
-
-    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [key[0]], "at": [key[1]], "data": [merge(key[0], list(pdf["data"]))]})
-
-    kind = "name string, at int, data binary"
-    tables = {name: np.zeros(size, np.uint64) for name, size, _ in TABLES}
-    for r in docs.mapInArrow(count, kind).groupBy("name", "at").applyInPandas(merged, kind).collect():  # the finished tables: some 50 MB before compression
-        x = np.frombuffer(zlib.decompress(r["data"]), np.uint64)
-        tables[r["name"]][r["at"] : r["at"] + len(x)] = x
-    model = spark.sparkContext.broadcast(Model(tables))
+    def counted(scale: int) -> dict[str, np.ndarray]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, some = Counts(scale), False
+            for b in in_parts(batches):
+                ids = b.column("doc_id").to_pylist()
+                for at, run in chunks(as_bytes(b.column("text"))):
+                    some = True
+                    counts.add(Grams(run, scale), [train_ref.value.get(i) for i in ids[at : at + len(run)]])
+            if some:
+                for name, at, data in counts.pieces():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([data], pa.binary())], ["name", "at", "data"])
+
+        kind = "name string, at int, data binary"
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        pieces = docs.mapInArrow(count, kind).withColumn("salt", F.spark_partition_id() % SALTS)
+        pieces = pieces.repartition(parts, "name", "at", "salt").sortWithinPartitions("name", "at").select("name", "at", "data").mapInArrow(merge, kind)
+        pieces = pieces.repartition(parts, "name", "at").sortWithinPartitions("name", "at").mapInArrow(merge, kind)
+        out = {name: np.zeros(size, np.uint64) for name, size, _ in tables(scale)}
+        for r in pieces.collect():  # the finished tables: some 50 MB before compression
+            x = np.frombuffer(zlib.decompress(r["data"]), np.uint64)
+            out[r["name"]][r["at"] : r["at"] + len(x)] = x
+        return out
+
+    scale = 1
+    while load(found_tables := counted(scale)) > MOST_LOAD:
+        scale *= 4
+    model = spark.sparkContext.broadcast(Model(found_tables))
 
     def features(b: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([model.value.features(Grams(run)) for _, run in chunks(as_bytes(b.column("text")))])
+        return np.concatenate([model.value.features(Grams(run, scale)) for _, run in chunks(as_bytes(b.column("text")))])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(list(features(b)), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -246,7 +274,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     fitted = fit_curve(np.array([r["x"] for r in rows]).reshape(-1, 2 + len(STRONG)), np.array([test[r["doc_id"]] for r in rows], float))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             if b.num_rows:
                 s = curve(features(b), fitted)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
