@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 BUCKETS = 1 << 15
 #: Up to so many trusted ids are broadcast; beyond that texts and ids are shuffled by id. The counts are the same.
 MOST_BROADCAST = 1_000_000
@@ -92,10 +94,11 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, alpha: flo
     ratio = ratios(docs, labels, buckets, alpha)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
     names = docs.columns
-    out = docs.withColumn("w__", words(F.col("text")))
-    out = out.select(*names, *(c.alias(k) for k, c in base_columns(F.col("text"), F.col("w__")).items()), _windows(F.col("w__")).alias("s__"), grams(F.col("w__"), buckets).alias("g__"))
-    total = F.aggregate("g__", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    out = out.select("*", _repeated(F.col("s__")).alias("p__"), F.coalesce(F.try_divide(total, F.size("g__")), F.lit(0.0)).alias("llr")).drop("s__", "g__")
-    out = out.select("*", _covered(F.col("p__")).alias("n_repeat_words")).drop("p__")
+    w, windows, g, places = fresh(docs.select(*names, *(F.lit(0).alias(c) for c in added)), "w", "windows", "g", "places")
+    out = docs.withColumn(w, words(F.col("text")))
+    out = out.select(*names, *(c.alias(k) for k, c in base_columns(F.col("text"), F.col(w)).items()), _windows(F.col(w)).alias(windows), grams(F.col(w), buckets).alias(g))
+    total = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b))
+    out = out.select("*", _repeated(F.col(windows)).alias(places), F.coalesce(F.try_divide(total, F.size(g)), F.lit(0.0)).alias("llr")).drop(windows, g)
+    out = out.select("*", _covered(F.col(places)).alias("n_repeat_words")).drop(places)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*names, *added)
