@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("validate-evaluation", "freeze-evaluation", "run-baselines"):
         add(name, "--dataset", "--protocol", "--output")
     add("verify-baselines", "--dataset", "--protocol", "--reference", "--output")
-    add("run-challengers", "--dataset", "--protocol", "--output")
+    add("run-challengers", "--dataset", "--protocol", "--baselines", "--output")
     sub.choices["run-challengers"].add_argument("--rounds", type=int, default=200)
     sub.choices["run-challengers"].add_argument("--series-limit", type=int)
     add("serve", "--metadata", "--port")
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
 
         server(a.metadata, int(a.port)).serve_forever()
         return 0
-    from .operators import features, forecast, learned, suite, validate
+    from .operators import suite, validate
 
     spark = session()
     if a.command == "prepare":
@@ -49,21 +49,17 @@ def main(argv: list[str] | None = None) -> int:
     else:
         demand, made = spark.read.parquet(f"{a.dataset}/demand"), spark.read.parquet(f"{a.dataset}/manifest")
         protocol = Protocol(**json.loads(Path(a.protocol).read_text()))
-        version = read_json(f"{a.dataset}/metadata.json")["dataset_version"]
+        metadata = read_json(f"{a.dataset}/metadata.json")
+        version = metadata["dataset_version"]
         if a.command == "validate-evaluation":
-            told = validate.protocol_checks(demand, made, protocol, version)
+            told = validate.protocol_checks(demand, made, protocol, version, metadata)
         elif a.command == "freeze-evaluation":
-            told = suite.freeze(demand, made, protocol, version, a.output)
+            told = suite.freeze(demand, made, protocol, version, a.output, metadata)
         elif a.command == "run-baselines":
             told = suite.run_baselines(demand, made, protocol, a.output)
         elif a.command == "verify-baselines":
             told = suite.verify_baselines(demand, made, protocol, a.reference, a.output)
         else:
-            codes = features.catalog(demand, made)
-            codes = codes.where(f"sku_code < {a.series_limit}") if a.series_limit else codes
-            for fold in protocol.development:
-                for name in features.FEATURE_SETS:
-                    learned.boosted_trees(demand, codes, fold, name, protocol.horizon, rounds=a.rounds).write.mode("overwrite").parquet(f"{a.output}/predictions/{fold.fold_id}_{name}")
-            told = {"folds": [f.fold_id for f in protocol.development], "models": sorted(features.FEATURE_SETS), "baselines": sorted(forecast.model_ids(protocol))}
+            told = suite.run_challengers(demand, made, protocol, a.baselines, a.output, a.series_limit, rounds=a.rounds)
     print(json.dumps(told, indent=2, default=str))
     return int(told.get("status") == "failed")

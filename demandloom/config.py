@@ -9,6 +9,16 @@ from typing import Any, Literal
 import yaml
 from pydantic import BaseModel, ConfigDict, Field, model_validator
 
+SCHEMA_VERSION, COHORT_VERSION = "panel-schema-1", "active-history-1"
+
+LAGS, WINDOWS = (1, 7, 14, 28, 56), (7, 28, 56)
+LONGEST = 56
+CODES = ["sku_code", "category_code", "subcategory_code"]
+TARGET = [*CODES, *(f"lag_{n}" for n in LAGS), *(f"rolling_mean_{n}" for n in WINDOWS), *(f"rolling_std_{n}" for n in WINDOWS), "nonzero_rate_28", "days_since_nonzero", "context_mean"]
+CALENDAR = ["day_of_week", "week_of_year", "month", "day_of_month", "is_weekend", "event_flag_feature", "snap_eligible_feature"]
+PRICE = ["price_lag_1", "price_change_7", "relative_price"]
+FEATURE_SETS = {"lag": TARGET, "calendar": [*TARGET, *CALENDAR], "full": [*TARGET, *CALENDAR, *PRICE]}
+
 
 class Strict(BaseModel):
     model_config = ConfigDict(extra="forbid")

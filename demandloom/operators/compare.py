@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import KEYS, pinball
 from .validate import require, unique_on
 
-#: Up to so many series the bootstrap resamples indices; beyond that it draws a Poisson weight per series.
-MOST_RESAMPLED = 50_000
-
-
 def paired(challengers: DataFrame, baselines: DataFrame, challenger: str, baseline: str) -> DataFrame:
     """Series of both models side by side; keys must be unique on either side."""
     keys = ["fold_id", *KEYS]
@@ -31,35 +28,48 @@ def observed_difference(pairs: DataFrame) -> DataFrame:
     return fold.agg(F.avg("d").alias("difference"), F.count("*").alias("fold_count"))
 
 
-def bootstrap(pairs: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """One row: observed difference and percentile interval from resampled series, the same series in all folds."""
+def _by_weights(rows: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(b, value): Poisson weights by hash of series and iteration; only sums per fold and iteration are shuffled."""
+    u = F.pmod(F.xxhash64(*KEYS, "b", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    # Cumulative probabilities of a Poisson law of mean 1, up to where they round to 1.
+    cuts = np.cumsum([np.exp(-1) / float(math.factorial(k)) for k in range(18)])
+    weight = sum((u > float(c)).cast("int") for c in cuts)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).withColumn("m", weight)
+    sums = drawn.groupBy("b", "fold_id").agg(F.try_divide(F.sum(F.col("m") * F.col("d") * F.col("w")), F.sum(F.col("m") * F.col("w"))).alias("v"))
+    return sums.groupBy("b").agg(F.avg("v").alias("value"))
+
+
+def _by_index(rows: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(b, value): one stream of series indices, shared by the folds, as published; the series go to every task."""
+    table = rows.orderBy("fold_id", *KEYS).collect()
+    folds = sorted({r["fold_id"] for r in table})
+    data = [np.array([(r["d"], r["w"]) for r in table if r["fold_id"] == f]) for f in folds]
+    n = len(data[0])
+
+    def resample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng, at = np.random.default_rng(seed), 0
+        for part in parts:
+            for b in sorted(part["id"]):
+                while at <= b:  # one stream of indices, whatever the partitioning
+                    index = rng.integers(0, n, size=n, dtype=np.int32)
+                    at += 1
+                yield pd.DataFrame({"b": [b], "value": [float(np.mean([(x[index, 0] * x[index, 1]).sum() / x[index, 1].sum() for x in data]))]})
+
+    return rows.sparkSession.range(0, iterations, 1, 8).mapInPandas(resample, "b long, value double")
+
+
+def bootstrap(pairs: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95, by_index: bool = False) -> DataFrame:
+    """One row: observed difference and percentile interval from resampled series, the same series in all folds.
+
+    Series get Poisson weights at every size of the table.  ``by_index`` draws the
+    published stream of indices instead; it collects the series, so it is for panels
+    that fit the driver.
+    """
     d = F.col("challenger_rmsse") - F.col("baseline_rmsse")
     rows = pairs.select("fold_id", *KEYS, d.alias("d"), F.col("weight_revenue").alias("w")).where("d IS NOT NULL")
     shape = rows.groupBy("fold_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).first()
     require(shape[0] == shape[1] and shape[0], "folds must hold the same series")
-    n, spark = shape[1], pairs.sparkSession
-    if n <= MOST_RESAMPLED:
-        table = rows.orderBy("fold_id", *KEYS).collect()  # bounded: MOST_RESAMPLED rows a fold
-        folds = sorted({r["fold_id"] for r in table})
-        data = [np.array([(r["d"], r["w"]) for r in table if r["fold_id"] == f]) for f in folds]
-
-        def resample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rng, at = np.random.default_rng(seed), 0
-            for part in parts:
-                for b in sorted(part["id"]):
-                    while at <= b:  # one stream of indices, whatever the partitioning
-                        index = rng.integers(0, n, size=n, dtype=np.int32)
-                        at += 1
-                    yield pd.DataFrame({"b": [b], "value": [float(np.mean([(x[index, 0] * x[index, 1]).sum() / x[index, 1].sum() for x in data]))]})
-
-        samples = spark.range(0, iterations, 1, 8).mapInPandas(resample, "b long, value double")
-    else:
-        # Poisson bootstrap: weights by hash of series and iteration; sums per fold and iteration only are shuffled.
-        u = F.pmod(F.xxhash64(*KEYS, "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        cuts = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(8)])
-        weight = sum((u > float(c)).cast("int") for c in cuts)
-        drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).withColumn("m", weight)
-        samples = drawn.groupBy("b", "fold_id").agg(F.try_divide(F.sum(F.col("m") * F.col("d") * F.col("w")), F.sum(F.col("m") * F.col("w"))).alias("v")).groupBy("b").agg(F.avg("v").alias("value"))
+    samples = (_by_index if by_index else _by_weights)(rows, iterations, seed)
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     ci = samples.agg(F.percentile("value", low).alias("ci_lower"), F.percentile("value", high).alias("ci_upper"))
     return observed_difference(pairs).join(ci).withColumn("interval_excludes_zero", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))

@@ -7,18 +7,10 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Fold
+from ..config import CALENDAR, CODES, FEATURE_SETS, LAGS, LONGEST, PRICE, TARGET, WINDOWS, Fold
 from ..functions.columns import KEYS, iso_weekday
 from .validate import unique_on
 
-LAGS, WINDOWS = (1, 7, 14, 28, 56), (7, 28, 56)
-LONGEST = 56
-CODES = ["sku_code", "category_code", "subcategory_code"]
-TARGET = [*CODES, *(f"lag_{n}" for n in LAGS), *(f"rolling_mean_{n}" for n in WINDOWS), *(f"rolling_std_{n}" for n in WINDOWS), "nonzero_rate_28", "days_since_nonzero", "context_mean"]
-CALENDAR = ["day_of_week", "week_of_year", "month", "day_of_month", "is_weekend", "event_flag_feature", "snap_eligible_feature"]
-PRICE = ["price_lag_1", "price_change_7", "relative_price"]
-FEATURE_SETS = {"lag": TARGET, "calendar": [*TARGET, *CALENDAR], "full": [*TARGET, *CALENDAR, *PRICE]}
-
 
 def causal(df: DataFrame) -> DataFrame:
     """Adds all features but the codes. One partitioning and order serves every window."""

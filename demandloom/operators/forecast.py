@@ -23,17 +23,18 @@ def fold_table(spark: SparkSession, protocol: Protocol, folds: list[Fold] | None
 def fold_frame(demand: DataFrame, manifest: DataFrame, folds: DataFrame) -> DataFrame:
     """One row per fold and included series: history (date, q) and actual in date order, revenue weight.
 
-    A single scan serves all folds; the handful of folds and the narrow manifest are the small sides.
+    A single scan and a single list per series serve all folds: only then the handful of
+    folds, a small side by protocol, multiplies the rows.
     """
     chosen = manifest.where("included").select(*KEYS, "segment", "active_start_date")
-    rows = demand.select("date", *KEYS, "quantity_sold", "unit_price").join(chosen, KEYS).join(F.broadcast(folds), F.col("date") <= F.col("evaluation_end"))
-    listed = lambda cond, value: F.expr(f"array_sort(collect_list(struct(date, quantity_sold AS q)) FILTER (WHERE {cond})) AS {value}")
-    out = rows.groupBy(*SERIES).agg(
-        F.any_value("segment").alias("segment"), F.any_value("active_start_date").alias("active_start_date"), F.any_value("train_end").alias("train_end"),
-        listed("date <= train_end", "history"), listed("date >= evaluation_start", "future"),
-        F.expr("coalesce(sum(quantity_sold * coalesce(unit_price, 0D)) FILTER (WHERE date BETWEEN weight_start AND train_end), 0D) AS weight_revenue"),
-    )
-    return out.withColumn("actual", F.transform("future", lambda x: x["q"])).drop("future")
+    rows = demand.select("date", *KEYS, "quantity_sold", "unit_price").join(chosen, KEYS)
+    days = F.array_sort(F.collect_list(F.struct("date", F.col("quantity_sold").alias("q"), (F.col("quantity_sold") * F.coalesce("unit_price", F.lit(0.0))).alias("r"))))
+    lists = rows.groupBy(*KEYS).agg(F.any_value("segment").alias("segment"), F.any_value("active_start_date").alias("active_start_date"), days.alias("days"))
+    out = lists.join(F.broadcast(folds), F.expr("days[0].date <= evaluation_end"))
+    within = lambda a, b, value: F.transform(F.filter("days", lambda x: (x["date"] >= F.col(a)) & (x["date"] <= F.col(b))), value)
+    revenue = F.aggregate(within("weight_start", "train_end", lambda x: F.coalesce(x["r"], F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    past = F.transform(F.filter("days", lambda x: x["date"] <= F.col("train_end")), lambda x: F.struct(x["date"].alias("date"), x["q"].alias("q")))
+    return out.select(*SERIES, "segment", "active_start_date", "train_end", past.alias("history"), within("evaluation_start", "evaluation_end", lambda x: x["q"]).alias("actual"), revenue.alias("weight_revenue"))
 
 
 def check_fold_frame(frame: DataFrame, manifest: DataFrame, protocol: Protocol) -> DataFrame:

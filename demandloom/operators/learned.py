@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from ..config import Fold
 from ..functions.columns import KEYS, iso_weekday
 from .features import CODES, FEATURE_SETS, LAGS, LONGEST, PRICE, WINDOWS, fill_prices, price_medians, training_frame
+from .validate import require
 
 #: Steps between tables written to cut the plan's lineage.
 CUT_EVERY = 7
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder, or in a local one where none is set (tests)."""
+    """df from a table in the shared folder; where none is set, in a local one if all runs on this machine (tests)."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{uuid.uuid4().hex}"
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    require(bool(place) or spark.sparkContext.master.startswith("local"), "set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{place or '/tmp/checkpoints'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,13 +39,16 @@ def state(demand: DataFrame, catalog: DataFrame, fold: Fold, context_days: int)
     filled = fill_prices(rows.withColumn("unit_price", F.expr(f"IF({past}, unit_price, NULL)")))
     tail = lambda value, n: F.expr(f"slice(transform(array_sort(collect_list(struct(date, {value} AS v)) FILTER (WHERE {past})), x -> x.v), -{n}, {n})")
     ahead = lambda flag: F.expr(f"transform(array_sort(collect_list(struct(date, coalesce({flag}, false) AS v)) FILTER (WHERE NOT {past})), x -> CAST(x.v AS DOUBLE))")
-    return filled.groupBy(*KEYS, "segment", *CODES).agg(
+    told = filled.groupBy(*KEYS, "segment", *CODES).agg(
         tail("quantity_sold", LONGEST).alias("target"), tail("filled_price", 7).alias("price"), ahead("event_flag").alias("events"), ahead("snap_eligible").alias("snaps"),
         F.expr(f"transform(array_sort(collect_list(struct(date, quantity_sold AS v)) FILTER (WHERE NOT {past})), x -> x.v)").alias("actual"),
         F.expr(f"sum(quantity_sold) FILTER (WHERE {past})").alias("total"), F.expr(f"count(quantity_sold) FILTER (WHERE {past})").alias("days"),
         F.expr(f"sum(filled_price) FILTER (WHERE {past})").alias("price_total"), F.expr(f"count(filled_price) FILTER (WHERE {past})").alias("price_days"),
         F.expr(f"datediff(DATE'{fold.train_end}', max(date) FILTER (WHERE {past} AND quantity_sold > 0)) + 1").alias("since"),
-    ).where(F.size("target") >= LONGEST)
+    )
+    short = told.where(F.size("target") < LONGEST).count()
+    require(not short, f"{fold.fold_id}: {short} series have fewer than {LONGEST} days before the forecast")
+    return told
 
 
 def step_features(s: DataFrame, fold: Fold, horizon: int) -> DataFrame:
@@ -75,8 +81,12 @@ def advance(s: DataFrame, prediction: str = "prediction") -> DataFrame:
     })
 
 
-def boosted_trees(demand: DataFrame, catalog: DataFrame, fold: Fold, feature_set: str = "full", horizon: int = 28, window_days: int = 730, rounds: int = 200, depth: int = 8, seed: int = 42) -> DataFrame:
-    """Train on the fold's window and forecast the horizon recursively: a row per series and day."""
+def boosted_trees(demand: DataFrame, catalog: DataFrame, fold: Fold, feature_set: str = "full", horizon: int = 28, window_days: int = 730, rounds: int = 200, depth: int = 8, seed: int = 42, save_to: str | None = None) -> DataFrame:
+    """Train on the fold's window and forecast the horizon recursively: a row per series and day.
+
+    ``save_to``: folder for the trained model with its parameters.  A series with less
+    history than the longest lag is an error.
+    """
     names = FEATURE_SETS[feature_set]
     training = training_frame(demand, catalog, fold, window_days)
     medians = price_medians(training).first().asDict()
@@ -84,6 +94,8 @@ def boosted_trees(demand: DataFrame, catalog: DataFrame, fold: Fold, feature_set
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     learner = GBTRegressor(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=0.05, minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=256, seed=seed)
     model = learner.fit(assembler.transform(fill(training)).select("target", "features"))
+    if save_to:
+        model.write().overwrite().save(save_to)
     s = _cut(state(demand, catalog, fold, max(window_days + LONGEST, 512)).withColumn("made", F.array().cast("array<double>")))
     for h in range(1, horizon + 1):
         x = assembler.transform(fill(step_features(s, fold, h)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Thresholds
+from ..artifacts import content_hash
+from ..config import COHORT_VERSION, FEATURE_SETS, LAGS, SCHEMA_VERSION, Thresholds
 from ..functions.columns import KEYS, SEGMENTS, any_null, any_of, distinct_count, nearest_rank
 
 REQUIRED = ["date", "store_id", "sku_id", "category", "quantity_sold", "source"]
@@ -67,6 +68,13 @@ def raw_checks(sales: DataFrame, calendar: DataFrame, prices: DataFrame, days: D
     return s.join(c).join(m).join(p)
 
 
+def unordered_rows(stored: DataFrame, keys: list[str] = KEYS, day: str = "date") -> DataFrame:
+    """One row: how many rows of a Parquet table stand behind a later day of the same series in their file."""
+    rows = stored.select(*keys, day, F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("at__"))
+    w = Window.partitionBy(*keys, "file__").orderBy("at__")
+    return rows.select((F.col(day) < F.lag(day).over(w)).alias("back")).agg(_count(F.col("back")).alias("unordered_rows"))
+
+
 def quality_counters(frame: DataFrame, manifest: DataFrame, dataset_version: str) -> DataFrame:
     """Blocking counters of the selected panel, all of which must be 0, and the number of selected series."""
     q, p = F.col("quantity_sold"), F.col("unit_price")
@@ -142,8 +150,9 @@ def protocol_coverage(demand: DataFrame) -> DataFrame:
     return demand.select("date", *KEYS).agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.count_distinct(F.struct(*KEYS)).alias("series_count"))
 
 
-def protocol_checks(demand: DataFrame, manifest: DataFrame, protocol, dataset_version: str) -> dict[str, Any]:
-    """Leakage and consistency checks of a protocol against its panel and manifest."""
+def protocol_checks(demand: DataFrame, manifest: DataFrame, protocol, dataset_version: str, metadata: dict[str, Any] | None = None, frozen: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Leakage and consistency checks of a protocol against its panel and manifest, and, where given,
+    against the dataset's metadata and what an earlier freeze has pinned."""
     seen = protocol_coverage(demand).first()
     folds, locked = protocol.folds, protocol.folds[-1]
     chosen = manifest.where("included")
@@ -159,7 +168,20 @@ def protocol_checks(demand: DataFrame, manifest: DataFrame, protocol, dataset_ve
         "eligibility_cutoff_match": ends[1] == [folds[0].train_end],
         "minimum_history_satisfied": not any(short.values()),
         "final_targets_excluded_from_development": all(f.evaluation_end < locked.evaluation_start for f in protocol.development),
+        "evaluation_windows_contiguous": all(b.evaluation_start == a.evaluation_end + timedelta(days=1) for a, b in zip(folds, folds[1:], strict=False)),
+        "segment_not_used_as_model_feature": all("segment" not in names for names in FEATURE_SETS.values()),
+        "target_features_are_lagged": min(LAGS) >= 1,
+        "future_price_is_lagged": all("unit_price" not in names for names in FEATURE_SETS.values()),
     }
+    if metadata is not None:
+        checks |= {
+            "metadata_dataset_version_match": metadata.get("dataset_version") == dataset_version,
+            "metadata_eligibility_cutoff_match": metadata.get("eligibility_cutoff_date") == str(folds[0].train_end),
+            "schema_version_match": metadata.get("schema_version") == SCHEMA_VERSION,
+            "cohort_definition_version_match": metadata.get("cohort_definition_version") == COHORT_VERSION,
+        }
+    if frozen is not None:
+        checks["manifest_checksum_match"] = frozen.get("manifest_hash") == content_hash(manifest)
     return {"status": "passed" if all(checks.values()) else "failed", "checks": checks, "short_series": short, "target_columns_read": [], "min_date": seen["min_date"], "max_date": seen["max_date"]}
 
 

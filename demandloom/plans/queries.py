@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 
@@ -115,6 +116,16 @@ def quality_counters(spark, d):
     return tidy(validate.quality_counters(demand, _manifest(demand, _protocol(spark, d)), VERSION))
 
 
+def unordered_rows(spark, d):
+    """Line items that stand behind a later shipment of the same part in the file."""
+    return tidy(validate.unordered_rows(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_partkey"], "l_shipdate"))
+
+
+def manifest_validation(spark, d):
+    demand = _demand(spark, d)
+    return tidy(validate.manifest_checks(_manifest(demand, _protocol(spark, d)), validate.MANIFEST_REQUIRED))
+
+
 def zero_runs(spark, d):
     demand = _demand(spark, d)
     return tidy(validate.zero_runs(validate.active(demand, _manifest(demand, _protocol(spark, d)))))
@@ -283,7 +294,10 @@ def pinball_coverage(spark, d):
 def gbt_forecast(spark, d):
     demand, p = _demand(spark, d), _protocol(spark, d)
     codes = features.catalog(demand, _manifest(demand, p))
-    return tidy(reduce(DataFrame.union, (learned.boosted_trees(demand, codes, fold) for fold in p.development)))
+    # Training is a long chain of short jobs: the folds' chains run side by side.
+    with ThreadPoolExecutor(len(p.development)) as pool:
+        made = list(pool.map(lambda fold: learned.boosted_trees(demand, codes, fold), p.development))
+    return tidy(reduce(DataFrame.union, made))
 
 
 # --- SQL of the same queries ---
@@ -337,14 +351,14 @@ scale AS (SELECT w.fold_id, w.store_id, w.sku_id, squared_scale, absolute_scale
 
 _FORECAST = """
 hs AS (SELECT CAST(unnest(range(1, 29)) AS BIGINT) AS horizon),
-naive AS (SELECT p.fold_id, CASE WHEN l = 1 THEN 'naive_last' ELSE 'seasonal_naive_lag_' || l END AS model_id, p.store_id, p.sku_id, p.segment, p.train_end, horizon, p.q AS raw
+naive AS MATERIALIZED (SELECT p.fold_id, CASE WHEN l = 1 THEN 'naive_last' ELSE 'seasonal_naive_lag_' || l END AS model_id, p.store_id, p.sku_id, p.segment, p.train_end, horizon, p.q AS raw
   FROM (SELECT unnest([1, 7, 28]) AS l) CROSS JOIN hs JOIN fd p ON p.date = p.train_end - CAST(l - 1 AS INTEGER) + CAST((horizon - 1) % l AS INTEGER)),
 pos AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY fold_id, store_id, sku_id) AS n, date - coalesce(lag(date) OVER w, active_start_date - 1) AS gap
   FROM fd WHERE past AND q > 0 AND date >= active_start_date WINDOW w AS (PARTITION BY fold_id, store_id, sku_id ORDER BY date)),
 cro0 AS (SELECT fold_id, store_id, sku_id, sum(q * wt) AS z, sum(gap * wt) AS p FROM (SELECT *, CASE WHEN k = 1 THEN pow(0.9::DOUBLE, n - 1) ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, n - k) END AS wt FROM pos) GROUP BY ALL),
 ends AS (SELECT DISTINCT fold_id, store_id, sku_id, segment, train_end FROM fd),
 cro AS (SELECT e.fold_id, 'croston_sba' AS model_id, e.store_id, e.sku_id, e.segment, e.train_end, horizon, coalesce(greatest(0, 0.95::DOUBLE * z / p), 0) AS raw FROM ends e CROSS JOIN hs LEFT JOIN cro0 USING (fold_id, store_id, sku_id)),
-pred AS (SELECT x.*, x.train_end AS cutoff_date, x.train_end + CAST(horizon AS INTEGER) AS forecast_date, greatest(0, raw) AS prediction, a.q AS actual
+pred AS MATERIALIZED (SELECT x.*, x.train_end AS cutoff_date, x.train_end + CAST(horizon AS INTEGER) AS forecast_date, greatest(0, raw) AS prediction, a.q AS actual
   FROM (SELECT * FROM naive UNION ALL SELECT * FROM cro) x LEFT JOIN fd a ON a.fold_id = x.fold_id AND a.store_id = x.store_id AND a.sku_id = x.sku_id AND a.date = x.train_end + CAST(horizon AS INTEGER))
 """
 
@@ -426,6 +440,8 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(*) FROM (SELECT count(DISTINCT date) AS n FROM demand GROUP BY sku_id) WHERE n <> (SELECT count(DISTINCT date) FROM demand)) AS incomplete_series_count, (SELECT count(*) FROM (SELECT count(DISTINCT category) AS n FROM demand GROUP BY sku_id) WHERE n <> 1) AS category_instability_series_count,
             (SELECT count(*) FROM man WHERE included AND sku_id NOT IN (SELECT sku_id FROM demand)) AS missing_selected_keys, (SELECT count(*) FROM (SELECT DISTINCT sku_id FROM demand) WHERE sku_id NOT IN (SELECT sku_id FROM man WHERE included)) AS unexpected_frame_keys,
             (SELECT count(*) FROM man WHERE included) AS selected_series_count, CAST(0 AS BIGINT) AS manifest_version_mismatch_rows FROM demand""", _MAN),
+        "unordered_rows": "SELECT count(*) FILTER (WHERE l_shipdate < before) AS unordered_rows FROM (SELECT l_shipdate, lag(l_shipdate) OVER (PARTITION BY l_partkey ORDER BY place) AS before FROM (SELECT l_partkey, l_shipdate, row_number() OVER () AS place FROM lineitem))",
+        "manifest_validation": _sql("SELECT count(*) AS row_count, count(*) FILTER (WHERE store_id IS NULL OR sku_id IS NULL OR zero_sales_ratio IS NULL OR history_days IS NULL OR segment IS NULL OR included IS NULL OR eligible IS NULL OR ref IS NULL OR cut IS NULL OR eligibility_history_days IS NULL OR reference_history_days IS NULL OR active_start_date IS NULL) AS null_required_rows, count(*) FILTER (WHERE segment NOT IN ('fast', 'medium', 'intermittent')) AS invalid_segment_rows, count(*) FILTER (WHERE history_days <= 0) AS nonpositive_history_rows, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM man GROUP BY store_id, sku_id HAVING count(*) > 1)) AS duplicate_keys FROM man", _MAN),
         "zero_runs": _sql("SELECT store_id, sku_id, max(n) AS max_zero_run_days FROM (SELECT store_id, sku_id, g, count(*) AS n FROM (SELECT d.store_id, d.sku_id, d.quantity_sold, sum(CAST(d.quantity_sold > 0 AS INT)) OVER (PARTITION BY d.store_id, d.sku_id ORDER BY d.date) AS g FROM demand d JOIN man m USING (store_id, sku_id) WHERE m.included AND d.date >= m.active_start_date) WHERE quantity_sold = 0 GROUP BY ALL) GROUP BY ALL", _MAN),
         "price_changes": _sql("SELECT store_id, sku_id, date, round(c, 6) AS price_change FROM (SELECT *, abs(unit_price / lag(unit_price) OVER (PARTITION BY store_id, sku_id ORDER BY date) - 1) AS c FROM demand WHERE unit_price IS NOT NULL) WHERE c > 0.5"),
         "quantity_quantile": _sql("SELECT round(max(t), 6) AS threshold, count(*) FILTER (WHERE quantity_sold > t) AS extreme_rows FROM demand, (SELECT quantity_sold AS t FROM (SELECT quantity_sold, row_number() OVER (ORDER BY quantity_sold) AS r, count(*) OVER () AS n FROM demand) WHERE r = CAST(round(CAST(0.999 AS DOUBLE) * (n - 1)) AS BIGINT) + 1)"),
@@ -465,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        canonical_demand, unpivot_measures, store_date_filter, canonical_validation, raw_validation, manifest_full, manifest_early_cutoff, segment_counts, stratified_sample, smoke_top_n, series_anti_join, quality_counters, zero_runs, price_changes,
+        canonical_demand, unpivot_measures, store_date_filter, canonical_validation, raw_validation, manifest_full, manifest_early_cutoff, segment_counts, stratified_sample, smoke_top_n, series_anti_join, quality_counters, unordered_rows, manifest_validation, zero_runs, price_changes,
         quantity_quantile, missing_price_profile, protocol_coverage, fold_frame, revenue_weights, scaling_denominators, naive_last, seasonal_naive_7, seasonal_naive_28, croston_sba, baseline_predictions, per_series_metrics, aggregate_metrics, model_ranking,
         champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast,
     )

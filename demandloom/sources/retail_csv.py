@@ -15,6 +15,8 @@ IDS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 #: File names, the preferred sales file first.
 SALES, CALENDAR, PRICES = ["sales_train_evaluation.csv", "sales_train_validation.csv"], "calendar.csv", "sell_prices.csv"
 
+ADAPTER_VERSION = "retail-csv-1"
+
 
 def discover(folder: str | Path) -> dict[str, Path]:
     """Paths of the three files; all that are missing are named in one error."""
