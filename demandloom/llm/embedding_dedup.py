@@ -98,6 +98,11 @@ def exact(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, threshold:
     return i[keep], j[keep]
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     big = np.abs(raw).max(axis=1, keepdims=True)
     z = raw / big
@@ -129,8 +134,8 @@ def links(df: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> Da
     Vectors that are null, empty or zero or hold a null or non-finite component, and
     vectors without a label, link with nothing; so do vectors of different length.
     Repeated rows and rows that share an id are vectors of their own, and link if
-    similar.  A null id takes part like any other; its row bears the component of
-    its partners and is kept only if alone.  An empty table gives an empty result.
+    similar.  A null id takes part like any other, links that lead through it count;
+    its row bears the component of its partners and is kept only if alone.  An empty table gives an empty result.
     Other columns are ignored.
     """
     spark = df.sparkSession
@@ -203,7 +208,7 @@ def links(df: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> Da
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [pickle.loads(d) for d in pdf.sort_values("chunk")["data"]]
         (ka, wa, xa, ta), (kb, wb, xb, tb) = got[0], got[-1]
-        xa, xb = xa.astype(np.float64), xb.astype(np.float64)
+        xa, xb = _scaled(xa.astype(np.float64)), _scaled(xb.astype(np.float64))
         own = len(got) == 1
         i, j = exact(*traverse(ta, ta if own else tb, _unit(xa), _unit(xb), reach), xa, xb, threshold)
         n = pd.concat([pd.DataFrame({"a": ka[i], "n": wb[j]}), pd.DataFrame({"a": kb[j], "n": wa[i]})]).groupby("a", as_index=False)["n"].sum()
@@ -213,11 +218,11 @@ def links(df: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> Da
     found = sides.join(packs.select("chunk", "data"), "chunk").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "meeting").groupBy("meeting").applyInPandas(meet, "a long, b long, n long, edge boolean")
     found = scratch.save(found)
     degree = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("k1"), "n")
-    name = classes.select("k1", "low")
-    edges = found.where("edge").join(name.select(F.col("k1").alias("a"), F.col("low").alias("x")), "a").join(name.select(F.col("k1").alias("b"), F.col("low").alias("y")), "b")
-    comp = components(scratch.save(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a is not null and b is not null")), scratch)
-    told = classes.select("k1", "weight", "low").join(degree, "k1", "left").join(comp.select(F.col("id").alias("low"), "component"), "low", "left")
-    told = told.select("k1", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
+    # Components of classes; each bears its smallest id.
+    comp = components(scratch.save(found.where("edge").select("a", "b")), scratch)
+    told = classes.select("k1", "weight", "low").join(degree, "k1", "left").join(comp.select(F.col("id").alias("k1"), "component"), "k1", "left")
+    told = scratch.save(told.select("k1", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "k1").alias("all"), "low"))
+    told = told.drop("low").join(told.groupBy("all").agg(F.min("low").alias("component_id")), "all").drop("all")
     out = rows.select("vec_id", "k1").join(told, "k1", "left")
     comp_id = F.coalesce("component_id", "vec_id").cast("long")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.col("vec_id").eqNullSafe(comp_id).alias("kept"))

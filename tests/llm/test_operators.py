@@ -244,6 +244,15 @@ def test_embedding_links_against_all_pairs(spark, chunk):
     assert len(edges) > 1000
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e160, 1e-170])
+def test_embedding_links_at_any_scale_and_through_null_ids(spark, scale):
+    """Vectors 1 and 3 are too far apart; that without an id links both."""
+    rows = [(1, 0.0), (None, 0.18), (3, 0.36), (4, 2.0)]
+    table = spark.createDataFrame([(i, [scale * math.cos(a), scale * math.sin(a)], 1) for i, a in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.links(table).collect()}
+    assert got == {1: (1, 1), None: (2, 1), 3: (1, 1), 4: (0, 4)}
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8))
