@@ -8,10 +8,11 @@ go themselves.
 * Tokens are hashed and ordered by rarity: by the count of their bucket in a table of
   fixed size over all documents, then by hash.  Any such order is a valid global one,
   so buckets shared by chance cost time only.
-* Lines with equal token sets are one class, kept by its earliest line.
-* Groups of near copies are mostly settled first: lines that agree in two minimum
-  hashes are compared with the earliest of them alone.  Only classes that this leaves
-  go through the join, against all classes.
+* Lines with equal token sets are one class, kept by its earliest line.  A line whose
+  set equals a class's in one 64-bit hash but not in another stays.
+* Groups of near copies are mostly settled first: lines that agree in a pair of
+  minimum hashes, one of four, are compared with the earliest of them alone.  Only
+  classes that this leaves go through the join, against all classes.
 * The join meets on tokens of the prefix (n - ceil(t n) + 1 rarest).  Length and
   positional filters and a parity bitmap, which bounds the symmetric difference from
   below, run inside the join; what is left is verified on the token sets.
@@ -20,78 +21,91 @@ go themselves.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, fresh
 
 THRESHOLD = Fraction(3, 4)
-BUCKETS = 1 << 16
+KEYS = ["k0", "k1", "k2", "k3"]
+#: Passes of the prefix join, each over its share of the tokens: the shuffle files of one pass are on disk at a time.
+PASSES = 4
+BUCKETS = 1 << 18
+WHITE = " \t\n\v\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Up to so many ids (8 bytes each) are broadcast; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def _hashes(line: Column) -> Column:
+    """Sorted hashes of the distinct words of a lower-cased line that has a word."""
+    words = F.split(F.btrim(line, F.lit(WHITE)), SPACE)
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """Literal array: for each bucket a rank that grows with the count of its words in all documents."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counts = docs.select(F.explode(F.split(F.lower(text), SPACE)).alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
+    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(buckets - 1)).alias("b")).count()
+    ranks = counts.groupBy(F.shiftright("b", 8).alias("part")).agg(F.collect_list(F.struct("b", F.floor(8 * F.log2("count")).cast("int").alias("r"))).alias("of"))
     rank = [0] * buckets
-    for r in counts.select("b", F.floor(8 * F.log2("count")).cast("int").alias("r")).collect():
-        rank[r["b"]] = r["r"]
+    for row in ranks.toLocalIterator():  # ``buckets`` small numbers, whatever the corpus
+        for b, r in row["of"]:
+            rank[b] = r
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
-def _tokens(line: Column, ranks: Column, buckets: int) -> Column:
-    """Distinct tokens as numbers that sort by rarity: 10 bits of rank, then 53 bits of hash."""
-    key = lambda w: F.shiftleft(F.get(ranks, F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")), 53).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 11))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+def _by_rarity(hashes: str, ranks: Column, buckets: int) -> Column:
+    """The hashes as numbers that sort by rarity: 10 bits of rank, then 53 bits of hash."""
+    rank = lambda h: F.get(ranks, h.bitwiseAND(_long(buckets - 1)).cast("int"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line); th tells texts under one id apart."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, th, line_no, line), lower-cased, of lines with a word; th tells texts under one id apart."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    return lines.where(F.btrim("line", F.lit(WHITE)) != "")
 
 
-def _parity(t: str, salt: int) -> Column:
-    """64 cells, each the parity of the tokens that fall into it."""
-    cell = lambda x: F.pmod(F.shiftrightunsigned(x, salt), F.lit(64)).cast("int")
-    return F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell(x))))
+def _parity(hashes: Column) -> Column:
+    """64 cells, each the parity of the hashes that fall into it."""
+    one = lambda x: F.call_function("shiftleft", _long(1), x.bitwiseAND(_long(63)).cast("int"))
+    return F.aggregate(hashes, _long(0), lambda a, x: a.bitwiseXOR(one(x)))
 
 
 def _prefix(t: Fraction) -> Column:
-    """n - ceil(t n) + 1 for the n tokens of column t."""
-    return F.expr(f"size(t) - cast((size(t) * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int) + 1")
+    """n - ceil(t n) + 1 for n tokens."""
+    return F.expr(f"n - cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int) + 1")
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, th, line_no) of the lines to remove; th is xxhash64 of the text."""
     scratch, t = Scratch(docs.sparkSession), threshold
     ranks = rarity(docs, buckets)
-    # Tokens of even and of odd hash have a parity bitmap each: 128 cells in all.
-    lines = _lines(docs).select("doc_id", "th", "line_no", _tokens(F.col("line"), ranks, buckets).alias("t")).where(F.size("t") > 0)
-    lines = lines.select("*", F.sort_array(F.transform("t", lambda x: F.xxhash64(x))).alias("low"))
-    side = lambda odd: F.filter("t", lambda x: x.bitwiseAND(F.lit(1).cast("bigint")) == odd)
-    lines = lines.select("*", side(0).alias("even"), side(1).alias("odd"))
+    lines = _lines(docs).select("doc_id", "th", "line_no", _hashes(F.col("line")).alias("h"))
+    # Negative hashes, which are sorted first, and others have a parity bitmap each: 128 cells in all.
+    lines = lines.select("*", F.size("h").alias("n"), F.size(F.filter("h", lambda x: x < 0)).alias("below"), _by_rarity("h", ranks, buckets).alias("t"))
+    # The two smallest and largest of either half: four pairs of minimum hashes, each from other tokens.
+    ends = [(F.lit(0), F.lit(1)), (F.col("below") - 1, F.col("below") - 2), (F.col("below"), F.col("below") + 1), (F.col("n") - 1, F.col("n") - 2)]
     wide = lines.select(
-        "doc_id", "th", "line_no",
-        F.xxhash64("t", F.lit(1)).alias("sig"),
-        F.size("t").alias("n"),
-        F.transform(F.slice("t", F.lit(1), _prefix(t)), lambda x: F.hash(x)).alias("prefix"),
-        _parity("even", 1).alias("bits"),
-        _parity("odd", 1).alias("bits2"),
-        F.xxhash64(F.get("low", F.lit(0)), F.get("low", F.lit(1))).alias("k1"),
-        F.xxhash64(F.get("low", F.lit(2)), F.get("low", F.lit(3))).alias("k2"),
+        "doc_id", "th", "line_no", "n",
+        F.xxhash64("h", F.lit(1)).alias("sig"),
+        F.xxhash64("h", F.lit(2)).alias("sig2"),
+        F.transform(F.slice("t", F.lit(1), _prefix(t)), lambda x: x.bitwiseAND(_long((1 << 40) - 1))).alias("prefix"),
+        _parity(F.slice("h", F.lit(1), F.col("below"))).alias("bits"),
+        _parity(F.slice("h", F.col("below") + 1, F.col("n") - F.col("below"))).alias("bits2"),
+        *(F.xxhash64(F.get("h", x), F.get("h", y)).alias(f"k{k}") for k, (x, y) in enumerate(ends)),
     )
     wide = scratch.save(wide)
     place = F.struct("doc_id", "th", "line_no")
-    classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("n", "bits", "bits2", "k1", "k2", "prefix")).alias("x")).select("sig", "place", "x.*"))
-    every = scratch.save(wide.select("doc_id", "th", "line_no", "sig"))
+    classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("sig2", "n", "bits", "bits2", *KEYS, "prefix")).alias("x")).select("sig", "place", "x.*"))
+    every = scratch.save(wide.select("doc_id", "th", "line_no", "sig", "sig2"))
     scratch.drop(wide)
     scratch.release()
 
@@ -104,8 +118,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
         some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
         lines = _lines(some)
         on = [lines["doc_id"].eqNullSafe(where["doc_id"]), lines["th"] == where["th"], lines["line_no"] == where["line_no"]]
-        items = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-        sets = scratch.save(lines.join(where, on).select("sig", items.alias("t")).dropDuplicates(["sig"]))
+        sets = scratch.save(lines.join(where, on).select("sig", _hashes(F.col("line")).alias("t")).dropDuplicates(["sig"]))
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         out = scratch.save(both.where(common * t.denominator >= (F.size("ta") + F.size("tb") - common) * t.numerator).select(F.col("b").alias("sig")).distinct())
@@ -114,27 +127,41 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
         return out
 
     near = lambda a, b: f"(bit_count({a}.bits ^ {b}.bits) + bit_count({a}.bits2 ^ {b}.bits2)) * {t.numerator + t.denominator} <= ({a}.n + {b}.n) * {t.denominator - t.numerator} AND {a}.n * {t.denominator} >= {b}.n * {t.numerator} AND {b}.n * {t.denominator} >= {a}.n * {t.numerator}"
-    narrow = classes.select("sig", "place", "n", "bits", "bits2", "k1", "k2")
-    gone: DataFrame | None = None
-    for k in ("k1", "k2"):
-        left = narrow if gone is None else narrow.join(gone, "sig", "left_anti")
-        first = narrow.groupBy(k).agg(F.min(F.struct("place", "sig", "n", "bits", "bits2")).alias("f")).select(k, "f.*")
-        star = left.alias("b").join(first.alias("a"), k).where(F.expr(f"a.sig <> b.sig AND {near('a', 'b')}")).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"))
-        found = similar(scratch.save(star))
-        gone = scratch.save(found if gone is None else gone.union(found))
-
-    # One exchange serves both sides of the join: the flag of the probing side is tested in the join itself.
+    # A group's leader is its earliest line, so it comes before all others.
+    stars = []
+    for k in KEYS:
+        first = classes.groupBy(k).agg(F.min(F.struct("place", "sig"))["sig"].alias("a"), F.count("*").alias("c")).where("c > 1").select(k, "a")
+        stars.append(scratch.save(classes.select(k, F.col("sig").alias("b")).join(first, k).where("a <> b").select("a", "b")))
+        scratch.release()
+    side = lambda x: classes.select(F.col("sig").alias(x), F.struct("n", "bits", "bits2").alias(x + x))
+    star = scratch.save(reduce(DataFrame.union, stars).distinct().join(side("a"), "a").join(side("b"), "b").where(F.expr(near("aa", "bb"))).select("a", "b"))
+    scratch.drop(*stars)
+    scratch.release()
+    gone = similar(star)
+
     posting = classes.join(gone.withColumn("done", F.lit(1)), "sig", "left").select("sig", "n", "bits", "bits2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("pos", "token"))
+    # Pairs of a class that is left and one that is done, and, once, of two that are left. As neither side
+    # can be filtered before the join, they are the same rows, and one exchange serves both.
+    once = "(x.done < y.done OR (x.done + y.done = 0 AND x.sig < y.sig))"
     # The overlap that is still possible if this is their first common token, against the one needed.
     most = "least(x.n - x.pos, y.n - y.pos)"
     reach = f"({most}) * {t.numerator + t.denominator} >= (x.n + y.n) * {t.numerator}"
-    pairs = posting.alias("x").join(posting.alias("y"), "token").where(F.expr(f"x.sig <> y.sig AND x.done + 0 * y.done = 0 AND {reach} AND {near('x', 'y')}"))
-    pairs = pairs.select(F.col("x.sig").alias("b"), F.col("y.sig").alias("a")).distinct()
-    order = classes.select("sig", "place")
-    pairs = pairs.join(order.select(F.col("sig").alias("b"), F.col("place").alias("pb")), "b").join(order.select(F.col("sig").alias("a"), F.col("place").alias("pa")), "a").where("pa < pb")
-    gone = scratch.save(gone.union(similar(scratch.save(pairs.select("a", "b")))))
+    found = []
+    for k in range(PASSES):
+        part = posting.where(F.pmod("token", F.lit(PASSES)) == k)
+        part = part.alias("x").join(part.alias("y"), "token").where(F.expr(f"{once} AND {reach} AND {near('x', 'y')}"))
+        found.append(scratch.save(part.select(F.col("x.sig").alias("p"), F.col("y.sig").alias("q"), (F.col("y.done") == 0).alias("both")).distinct()))
+        scratch.release()
+    pairs = reduce(DataFrame.union, found).distinct()
+    order = lambda x: classes.select(F.col("sig").alias(x), F.col("place").alias(f"{x}_at"))
+    pairs = pairs.join(order("p"), "p").join(order("q"), "q").where("q_at < p_at OR both")
+    later = F.col("q_at") < F.col("p_at")
+    pairs = pairs.select(F.when(later, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(later, F.col("p")).otherwise(F.col("q")).alias("b"))
+    pairs = scratch.save(pairs)
+    scratch.drop(*found)
+    gone = scratch.save(gone.union(similar(pairs)))
     # All lines of a class that goes, and all but the first of one that stays.
-    marked = every.join(classes.select("sig", "place"), "sig").join(gone.withColumn("gone", F.lit(True)), "sig", "left")
+    marked = every.join(classes.select("sig", "place", F.col("sig2").alias("same")), "sig").where("sig2 = same").join(gone.withColumn("gone", F.lit(True)), "sig", "left")
     out = scratch.save(marked.where(F.col("gone").isNotNull() | (F.struct("doc_id", "th", "line_no") != F.col("place"))).select("doc_id", "th", "line_no"))
     scratch.drop_others(out)
     return out
@@ -147,15 +174,16 @@ def dedup(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int = BUCKE
     stays null with no lines; a text that loses all its lines becomes empty.  Rows
     equal in id and text are one document: they keep and lose the same lines.  Rows
     that share an id are ordered by a hash of the text, and null ids come first.
-    Existing columns of the two names are replaced, others pass through.
+    An empty table gives an empty result.  Existing columns of the two names are
+    replaced, others pass through.  Ids must be castable to bigint.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
     gone = removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, buckets)
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone__")).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "gone__")
-    on = docs["doc_id"].cast("long").eqNullSafe(gone["id__"]) & (F.xxhash64(docs["text"]) == gone["th__"])
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("l__") - 1), F.coalesce("gone__", F.array().cast("array<int>")))
-    out = docs.join(gone, on, "left").drop("id__", "th__").withColumn("l__", lines).withColumn("k__", kept)
-    text = F.when(F.col("gone__").isNull(), F.col("text")).otherwise(F.array_join(F.transform("k__", lambda i: F.get("l__", i)), "\n"))
-    n = F.greatest(F.coalesce(F.size("l__"), F.lit(0)), F.lit(0)).cast("long")
-    return out.withColumns({"text": text, "n_lines": n, "n_removed_lines": F.greatest(F.coalesce(F.size("gone__"), F.lit(0)), F.lit(0)).cast("long")}).drop("l__", "k__", "gone__")
+    id_, th, no, parts, kept = fresh(docs, "id", "th", "gone", "lines", "kept")
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias(no)).select(F.col("doc_id").alias(id_), F.col("th").alias(th), no)
+    on = docs["doc_id"].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[th])
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce(no, F.array().cast("array<int>")))
+    out = docs.join(gone, on, "left").drop(id_, th).withColumn(parts, F.split("text", "\n")).withColumn(kept, left)
+    text = F.when(F.col(no).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    n = F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0)).cast("long")
+    return out.withColumns({"text": text, "n_lines": n, "n_removed_lines": F.greatest(F.coalesce(F.size(no), F.lit(0)), F.lit(0)).cast("long")}).drop(parts, kept, no)
