@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.llm import jaccard_join, line_dedup, packing, quality_gam, substring_dedup
-from demandloom.llm._shared import Scratch, load
+from demandloom.llm._shared import Scratch, fresh, load
 
-#: Up to so many ids (8 bytes each) are broadcast; beyond that the join shuffles.
+#: Up to so many places (8 bytes each) are broadcast; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -31,14 +31,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates.
+    """One row of each group of near duplicates: that of the smallest id, null ids after all others, ties by place in the table.
 
-    Documents without words are linked with nothing and stay, as do rows with a null
-    id; rows that share an id stay or go together.
+    Rows are told apart by their place, so rows that share an id stay or go each by
+    its own text.  Documents without words are linked with nothing and stay.
     """
-    found = Scratch(spark).save(jaccard_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    gone = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch, (place,) = Scratch(spark), fresh(docs, "place")
+    # Docs are a written table, read in the same order every time.
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    found = jaccard_join.near_duplicates(rows, doc_id=place).select(F.col("doc_id").alias(place), "component_id")
+    found = found.join(rows.select(place, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(place).alias("at")).alias("first")), place)
+    groups = found.groupBy("component_id").agg(F.min("first").alias("kept"), F.count("*").alias("n")).where("n > 1").select("component_id", "kept")
+    gone = scratch.save(found.join(groups, "component_id").where(F.col("first") != F.col("kept")).select(place))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, place, "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
