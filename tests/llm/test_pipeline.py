@@ -62,3 +62,19 @@ def test_stages(spark):
         room[r.sequence_id] = room.get(r.sequence_id, 0) + r.length
     assert max(room.values()) <= 2048
     assert sum(room.values()) / (2048 * len(room)) > 0.9 or len(room) == pytest.approx(sum(room.values()) / 2048, abs=1)
+
+
+def test_stages_on_odd_tables(spark):
+    """Null texts and ids, shared ids, repeated rows, an extra column and no rows at all."""
+    text = " ".join(f"word{i}" for i in range(80))
+    near = text.replace("word40", "other")
+    rows = [(1, text), (1, near), (1, "something else entirely, under the same id"), (None, near), (2, text), (3, None), (4, ""), (5, " \n"), (6, "alone here"), (6, "alone here")]
+    docs = spark.createDataFrame([(d, t, None, "s", None, k, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, place int, row_no int")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r.place for r in got.collect()) == [0, 2, 5, 6, 7, 8]
+    for table in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, SF)
+            assert k == 4 or out.columns == docs.columns
+            assert out.count() <= max(table.count(), 0)
