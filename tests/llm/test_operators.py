@@ -419,7 +419,7 @@ def test_passage_that_every_document_holds(spark):
     assert got == {i: 60 * (i > 0) for i in range(400)}
 
 
-@pytest.mark.parametrize("taken", ["w windows g places", "id th gone lines kept", "span_id spans h low", "row_no shard island genomes"])
+@pytest.mark.parametrize("taken", ["w windows g places", "id th gone lines", "span_id spans h low", "row_no shard island genomes"])
 def test_columns_of_any_name_pass_through(spark, rows, taken):
     table = frame(spark, rows).select("doc_id", "text", *(F.lit(k).alias(x) for k, x in enumerate(taken.split(" "))))
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
