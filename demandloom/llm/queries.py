@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_tools, embedding_dedup, jaccard_join, line_dedup, packing, quality_gam, quality_rules, substring_dedup, toxicity
+from . import bpe, chat_tools, embedding_dedup, embedding_whitening, jaccard_join, line_dedup, packing, quality_gam, quality_rules, spelling, substring_dedup, toxicity, vector_search
 from ._shared import load
 
 
@@ -66,8 +66,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, load(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(load(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op9_chat_formatting, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_substring_dedup, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_classifier, op9_chat_formatting, op10_quality_rules, op11_embedding_whitening, op12_spelling_variants, op13_exact_top_k)}
 
 
 #: plain_parts() and link() once more; walk has every path along what parts need, up to one that meets a place twice.
@@ -110,5 +122,23 @@ SELECT m.conv_id, m.turn, kind, call_id,
     ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' END AS json
 FROM m LEFT JOIN state s ON m.conv_id = s.conv_id AND m.turn = s.turn
 """
+
+
+_SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS code
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, q.place AS asked, v.vec_id, v.place, CAST(list_sum(list_transform(list_zip(q.code, v.code), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON len(q.code) = len(v.code) AND q.place <> v.place
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST, place) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": _CHAT_SQL}
+    return {"op9_chat_formatting": _CHAT_SQL, "op13_exact_top_k": _SEARCH_SQL}
