@@ -1,7 +1,7 @@
 """Spelling variant grouping: each word's neighbours at one edit, its likely form, and the root that forms lead to.
 
-* Words are counted over whole texts by built-in functions, with partial sums before
-  the shuffle, so a frequent word costs one row a task.
+* Words are counted over whole texts, with partial sums before the shuffle, so a
+  frequent word costs one row a task.
 * The vocabulary is dealt by ranges to shards of bounded size; each becomes a compact
   trie, in which chains of single children are one node.
 * Shards are broadcast in waves of checked size.  The automaton of each word at
@@ -19,21 +19,27 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import collections
 import os
 import pickle
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, in_parts
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: A shard ends at so many words or code points, a wave at so many bytes of tries.
-SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 32_768, 1 << 20, 8 << 20
+SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 131_072, 4 << 20, 8 << 20
+#: A task passes its partial counts on at so many words, and reads a text in pieces of so many code points.
+HELD_WORDS, PIECE = 400_000, 1 << 20
 #: Words a task runs against a wave.
-TASK_WORDS = 16_384
+TASK_WORDS = 8192
 
 Trie = tuple[list[str], list[int], list[dict[str, int] | None]]
 
@@ -103,22 +109,44 @@ def neighbours(trie: Trie, word: str) -> Iterator[tuple[str, int]]:
                 stack.extend((k, text, exact, more, other, less) for k in go)
 
 
+def _pieces(text: str, gap: re.Pattern) -> Iterator[str]:
+    """The text in pieces of about PIECE code points, cut where no word is."""
+    at = 0
+    while len(text) - at > PIECE:
+        found = gap.search(text, at + PIECE)
+        end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def count_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", typo_every: int = 97, letters: str = LETTERS) -> DataFrame:
     """Rows (word, n) over whole texts: runs of letters with A-Z lower-cased.
 
     From a run whose crc32 with its document's id is divisible by typo_every, one code
     point is dropped, as a slip of the pen would; 0 leaves all runs alone.
     """
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    runs = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.explode(F.split(F.col(text), f"[^{letters[1:-1]}]+")).alias("run")).where("run <> ''")
-    run = F.when(F.octet_length("run") == F.char_length("run"), F.lower("run")).otherwise(F.translate("run", upper, upper.lower()))
-    runs = runs.select("id", run.alias("word"))
-    if typo_every:
-        h = F.crc32(F.concat("id", F.lit(":"), "word"))
-        runs = runs.select("word", h.alias("h"), F.char_length("word").alias("size"))
-        at = (F.col("h") % F.col("size")).cast("int")
-        runs = runs.select(F.when(F.col("h") % typo_every == 0, F.concat(F.substring("word", 1, at), F.substring("word", at + 2, F.col("size")))).otherwise(F.col("word")).alias("word"))
-    return runs.groupBy("word").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, gap, total = re.compile(f"{letters}+"), re.compile(f"[^{letters[1:-1]}]"), {}
+        told = lambda: pa.record_batch({"word": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64())})
+        for b in in_parts(batches):
+            for one, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                start = zlib.crc32(f"{one}:".encode())
+                for piece in _pieces(whole, gap):
+                    # As bytes, only A-Z have a lower case.
+                    for word, n in collections.Counter(runs.findall(piece.encode().lower().decode())).items():
+                        if typo_every and (h := zlib.crc32(word.encode(), start)) % typo_every == 0:
+                            at = h % len(word)
+                            word = word[:at] + word[at + 1 :]
+                        total[word] = total.get(word, 0) + n
+                    if len(total) > HELD_WORDS:
+                        yield told()
+                        total.clear()
+        yield told()
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), text)
+    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_shards(words: DataFrame, n: int) -> DataFrame:
@@ -143,12 +171,23 @@ def build_shards(words: DataFrame, n: int) -> DataFrame:
     return ranges.mapInArrow(run, "trie binary").withColumn("shard", F.monotonically_increasing_id())
 
 
+_LOADED: dict[str, list[Trie]] = {}
+
+
+def _tries(wave: str, shards: list[bytes]) -> list[Trie]:
+    """The tries of a wave, which a worker's later tasks find loaded."""
+    if wave not in _LOADED:
+        _LOADED.clear()
+        _LOADED[wave] = [pickle.loads(s) for s in shards]
+    return _LOADED[wave]
+
+
 def accepted(words: DataFrame, shards: list[bytes]) -> DataFrame:
     """Rows (word, near, near_n): every word with every word of the shards at one edit from it."""
-    sent = words.sparkSession.sparkContext.broadcast(shards)
+    sent, wave = words.sparkSession.sparkContext.broadcast(shards), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [pickle.loads(s) for s in sent.value]
+        tries = _tries(wave, sent.value)
         for b in batches:
             found: list[tuple[str, str, int]] = []
             for word in b.column(0).to_pylist():
@@ -181,7 +220,7 @@ def group_variants(words: DataFrame, factor: int = 2) -> DataFrame:
     words = scratch.save(words.select("word", "n"))
     n = words.count()
     shards = scratch.save(build_shards(words, n))
-    # One row per shard, so per 32,768 words.
+    # One row per shard, so per 131,072 words.
     sizes = shards.select("shard", F.octet_length("trie").alias("bytes")).orderBy("shard").collect()
     dealt = scratch.save(words.repartition(max(1, -(-n // TASK_WORDS)), "word"))
     found, wave, size = [], [], 0
