@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Protocol, Settings, rolling_protocol
 from ..functions.columns import KEYS
 from ..operators import compare, features, forecast, learned, manifest, validate
+from ..operators.workspace import Workspace
 from ..sources import panel, retail_csv
 
 VERSION = "panel-1"
@@ -30,9 +31,13 @@ def _demand(spark: SparkSession, d: str) -> DataFrame:
     return panel.demand_daily(spark, d)
 
 
+def date_span(spark: SparkSession, d: str) -> tuple[date, date]:
+    """First and last day of the panel."""
+    return tuple(spark.read.parquet(f"{d}/lineitem.parquet").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first())
+
+
 def _protocol(spark: SparkSession, d: str) -> Protocol:
-    r = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
-    return rolling_protocol(r[0], r[1])
+    return rolling_protocol(*date_span(spark, d))
 
 
 def _release() -> Settings:
@@ -292,9 +297,10 @@ def pinball_coverage(spark, d):
 
 
 def gbt_forecast(spark, d):
-    demand, p = _demand(spark, d), _protocol(spark, d)
-    codes = features.catalog(demand, _manifest(demand, p))
-    # Training is a long chain of short jobs: the folds' chains run side by side.
+    p, space = _protocol(spark, d), Workspace(spark)
+    demand = space.save(_demand(spark, d))
+    codes = space.save(features.catalog(demand, _manifest(demand, p)))
+    # A fold's training is one task up to two million rows: the folds run side by side.
     with ThreadPoolExecutor(len(p.development)) as pool:
         made = list(pool.map(lambda fold: learned.boosted_trees(demand, codes, fold), p.development))
     return tidy(reduce(DataFrame.union, made))

@@ -70,7 +70,7 @@ def test_short_series_are_an_error(spark):
     end = DAY + timedelta(days=37)
     fold = Fold(fold_id="f", role="development", train_start=DAY, train_end=end, evaluation_start=end + timedelta(days=1), evaluation_end=end + timedelta(days=2))
     with pytest.raises(ValueError, match="fewer than 56 days"):
-        learned.state(df, features.catalog(df, made), fold, 100)
+        learned.long_enough(learned.state(df, features.catalog(df, made), fold, 100), fold)
 
 
 def test_unordered_rows_are_counted_in_their_file(spark, tmp_path):
