@@ -46,8 +46,3 @@ def pinball(q: float, error: Column) -> Column:
 def distinct_count(c: str) -> Column:
     """Exact distinct count that counts null as a value."""
     return F.count_distinct(F.struct(c))
-
-
-def nearest_rank(n: Column, q: float) -> Column:
-    """1-based rank of the q-quantile without interpolation: the nearest index of 0..n-1."""
-    return (F.round(F.lit(q) * (n - 1)) + 1).cast("long")

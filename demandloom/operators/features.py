@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import CALENDAR, CODES, FEATURE_SETS, LAGS, LONGEST, PRICE, TARGET, WINDOWS, Fold
 from ..functions.columns import KEYS, iso_weekday
+from .ordinals import coded, numbered
 from .validate import unique_on
+from .workspace import Workspace
 
 
 def causal(df: DataFrame) -> DataFrame:
@@ -37,11 +39,12 @@ def causal(df: DataFrame) -> DataFrame:
 
 
 def catalog(demand: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Included series with codes by order of name. One narrow row per series; ranks are global by definition."""
+    """Included series with codes by order of name: ranks over all series, numbered range by range."""
+    space = Workspace(demand.sparkSession)
     attributes = unique_on(demand.select(*KEYS, "category", "subcategory").distinct(), KEYS, "series attributes")
     chosen = unique_on(manifest.where("included").select(*KEYS, "segment", "active_start_date"), KEYS, "manifest")
-    rank = lambda *c: F.dense_rank().over(Window.orderBy(*c)) - 1
-    return chosen.join(attributes, KEYS).withColumns({"sku_code": F.row_number().over(Window.orderBy(*KEYS)) - 1, "category_code": rank("category"), "subcategory_code": rank("subcategory")})
+    series = numbered(chosen.join(attributes, KEYS), KEYS, "sku_code", space)
+    return coded(coded(series, "category", "category_code", space), "subcategory", "subcategory_code", space)
 
 
 def training_frame(demand: DataFrame, catalog_: DataFrame, fold: Fold, window_days: int = 730) -> DataFrame:

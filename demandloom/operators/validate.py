@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..artifacts import content_hash
 from ..config import COHORT_VERSION, FEATURE_SETS, LAGS, SCHEMA_VERSION, Thresholds
-from ..functions.columns import KEYS, SEGMENTS, any_null, any_of, distinct_count, nearest_rank
+from ..functions.columns import KEYS, SEGMENTS, any_null, any_of, distinct_count
+from .ordinals import nearest_quantile
+from .workspace import Workspace
 
 REQUIRED = ["date", "store_id", "sku_id", "category", "quantity_sold", "source"]
 MANIFEST_REQUIRED = ["dataset_version", *KEYS, "zero_sales_ratio", "history_days", "segment", "selection_seed", "cohort_role", "included", "eligible", "reference_end_date", "eligibility_cutoff_date", "eligibility_history_days", "reference_history_days", "active_start_date"]
@@ -114,20 +116,11 @@ def price_changes(frame: DataFrame) -> DataFrame:
     return known.select(*KEYS, "date", F.abs(F.try_divide("unit_price", F.lag("unit_price").over(w)) - 1).alias("price_change"))
 
 
-def nearest_quantile(frame: DataFrame, column: str, q: float) -> DataFrame:
-    """One row: the q-quantile by nearest rank, from counts of distinct values rather than a global sort of rows."""
-    counts = frame.where(F.col(column).isNotNull()).groupBy(column).count()
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    # Quantities are small numbers: the distinct values are few however many rows there are.
-    ranked = counts.select(column, F.sum("count").over(w).alias("upto"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    return ranked.where(F.col("upto") >= nearest_rank(F.col("n"), q)).agg(F.min(column).alias("threshold"))
-
-
 def quality_profile(frame: DataFrame, manifest: DataFrame, limits: Thresholds = Thresholds()) -> dict[str, Any]:
     """Ratios and warning counts; warnings never fail a dataset."""
     live, chosen = active(frame, manifest), manifest.where("included")
     ratio = lambda df: df.agg(F.avg(F.col("unit_price").isNull().cast("double"))).first()[0]
-    top = nearest_quantile(frame, "quantity_sold", limits.extreme_quantity_quantile).first()[0]
+    top = nearest_quantile(frame, "quantity_sold", limits.extreme_quantity_quantile, Workspace(frame.sparkSession))
     runs = zero_runs(live).agg(_count(F.col("max_zero_run_days") > limits.long_zero_run_days), F.max("max_zero_run_days")).first()
     told = {
         "canonical_missing_price_ratio": ratio(frame),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Protocol, Settings, rolling_protocol
 from ..functions.columns import KEYS
-from ..operators import compare, features, forecast, learned, manifest, validate
+from ..operators import compare, features, forecast, learned, manifest, ordinals, validate
 from ..operators.workspace import Workspace
 from ..sources import panel, retail_csv
 
@@ -141,9 +141,10 @@ def price_changes(spark, d):
 
 
 def quantity_quantile(spark, d):
-    demand = _demand(spark, d)
-    top = validate.nearest_quantile(demand, "quantity_sold", 0.999)
-    return tidy(demand.join(F.broadcast(top)).agg(F.max("threshold").alias("threshold"), F.count_if(F.col("quantity_sold") > F.col("threshold")).alias("extreme_rows")))
+    space = Workspace(spark)
+    demand = space.save(_demand(spark, d).select("quantity_sold"))
+    top = ordinals.nearest_quantile(demand, "quantity_sold", 0.999, space)
+    return tidy(demand.agg(F.lit(top).cast("double").alias("threshold"), F.count_if(F.col("quantity_sold") > F.lit(top)).alias("extreme_rows")))
 
 
 def missing_price_profile(spark, d):
