@@ -35,23 +35,24 @@ from ._shared import Scratch, in_parts
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: A shard ends at so many words or code points, a wave at so many bytes of tries.
-SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 131_072, 4 << 20, 8 << 20
+SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 131_072, 4 << 20, 16 << 20
 #: A task passes its partial counts on at so many words, and reads a text in pieces of so many code points.
 HELD_WORDS, PIECE = 400_000, 1 << 20
 #: Words a task runs against a wave.
 TASK_WORDS = 8192
 
-Trie = tuple[list[str], list[int], list[dict[str, int] | None]]
+#: Each node's label, its (word, count) if a word ends there, and its kids by first code point.
+Trie = tuple[list[str], list[tuple[str, int] | None], list[dict[str, int] | None]]
 
 
 def build(words: list[str], counts: list[int]) -> Trie:
-    """A compact trie of words in code-point order: each node's label, count (0 if no word ends there) and kids."""
-    labels, ends, kids = [""], [0], [None]
+    """A compact trie of words in code-point order."""
+    labels, ends, kids = [""], [None], [None]
     path, before = [(0, 0)], ""
 
-    def kid(parent: int, label: str, count: int) -> int:
+    def kid(parent: int, label: str, end: tuple[str, int] | None) -> int:
         labels.append(label)
-        ends.append(count)
+        ends.append(end)
         kids.append(None)
         if kids[parent] is None:
             kids[parent] = {}
@@ -64,49 +65,76 @@ def build(words: list[str], counts: list[int]) -> Trie:
             last = path.pop()[0]
         top, depth = path[-1]
         if depth < same:  # the last node left ends further down than the common part: cut it in two
-            top = kid(top, labels[last][: same - depth], 0)
+            top = kid(top, labels[last][: same - depth], None)
             labels[last] = labels[last][same - depth :]
             kids[top] = {labels[last][0]: last}
             path.append((top, same))
-        path.append((kid(top, word[same:], count), len(word)))
+        path.append((kid(top, word[same:], (word, count)), len(word)))
         before = word
     return labels, ends, kids
 
 
-def neighbours(trie: Trie, word: str) -> Iterator[tuple[str, int]]:
+def neighbours(trie: Trie, word: str) -> list[tuple[str, int]]:
     """Words of the trie at exactly one edit, with their counts, by a depth-first walk with the word's automaton.
 
-    After d code points of a branch: ``exact`` if they are the word's first d; ``more``,
-    ``other``, ``less`` if one edit makes them its first d - 1, d or d + 1.
+    After d code points of a branch the automaton is ``exact`` if they are the word's
+    first d, and in ``more``, ``other``, ``less`` if one edit makes them its first d - 1,
+    d or d + 1.  Once it is no longer exact, a label keeps a position alive only if it
+    stands in the word from there on, and only kids that begin so are met.
     """
     labels, ends, kids = trie
-    size, w = len(word), [*word, None, None]
-    stack = [(0, "", True, False, False, size > 0)]
-    while stack:
-        node, text, exact, more, other, less = stack.pop()
-        d = len(text)
-        for x in labels[node]:
-            here = w[d] if d < size else None
-            match = exact and here == x
-            more, other, less = (
-                exact or (more and w[d - 1] == x),
-                (exact and here is not None and here != x) or (other and here == x),
-                (match and d + 1 < size) or (less and w[d + 1] == x),
-            )
-            exact, d = match, d + 1
-            if not (exact or more or other or less):
-                break
-        else:
-            text += labels[node]
-            if ends[node] and ((more and d - 1 == size) or (other and d == size) or (less and d + 1 == size)):
-                yield text, ends[node]
-            below = kids[node]
-            if below:
-                if exact:
-                    go = below.values()
+    size, goes, out, stack = len(word), word.startswith, [], []
+    node, d, more, other, less = 0, 0, False, False, size > 0
+    while node >= 0:  # the exact path; all that leaves it is put on the stack
+        if ends[node] and ((more and d - 1 == size) or (other and d == size) or (less and d + 1 == size)):
+            out.append(ends[node])
+        below, on = kids[node], -1
+        for x, kid in below.items() if below else ():
+            label = labels[kid]
+            if d < size and x == word[d]:
+                exact, m, o, p, at = True, more, other, less, d
+                for y in label:
+                    same = exact and at < size and word[at] == y
+                    m, o, p = (
+                        exact or (m and at <= size and word[at - 1] == y),
+                        (exact and at < size and not same) or (o and at < size and word[at] == y),
+                        (same and at + 1 < size) or (p and at + 1 < size and word[at + 1] == y),
+                    )
+                    exact, at = same, at + 1
+                    if not (exact or m or o or p):
+                        break
                 else:
-                    go = [below[x] for x in {w[d - 1] if more else None, w[d] if other and d < size else None, w[d + 1] if less and d + 1 < size else None} if x in below]
-                stack.extend((k, text, exact, more, other, less) for k in go)
+                    if exact:
+                        on, ahead = kid, (at, m, o, p)
+                    else:
+                        stack.append((kid, at, m, o, p))
+            else:
+                m, o, p = True, d < size, less and d + 1 < size and word[d + 1] == x
+                if len(label) > 1:
+                    rest = label[1:]
+                    m, o, p = goes(rest, d), o and goes(rest, d + 1), p and goes(rest, d + 2)
+                if m or o or p:
+                    stack.append((kid, d + len(label), m, o, p))
+        node = on
+        if on >= 0:
+            d, more, other, less = ahead
+    while stack:
+        node, d, more, other, less = stack.pop()
+        end, below = ends[node], kids[node]
+        if end and ((more and d - 1 == size) or (other and d == size) or (less and d + 1 == size)):
+            out.append(end)
+        if below:
+            one = word[d - 1] if more and d <= size else None
+            two = word[d] if other and d < size else None
+            three = word[d + 1] if less and d + 1 < size else None
+            for x in (one, two if two != one else None, three if three != two and three != one else None):
+                if x in below:
+                    kid = below[x]
+                    label = labels[kid]
+                    m, o, p = more and goes(label, d - 1), other and goes(label, d), less and goes(label, d + 1)
+                    if m or o or p:
+                        stack.append((kid, d + len(label), m, o, p))
+    return out
 
 
 def _pieces(text: str, gap: re.Pattern) -> Iterator[str]:
