@@ -267,11 +267,11 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     spark = placed.sparkSession
     tasks = lambda n: max(1, min(n, 20_000))  # noqa: E731  shards are few bytes and much work: one task each
     scratch = Scratch(spark)
-    # The written table is read in a fixed order, so row numbers are the same in every run of a task.
-    base = scratch.save(placed.drop("sequence_id", "offset"))
-    row_no, shard = fresh(base, "row_no", "shard")
+    placed = placed.drop("sequence_id", "offset")
+    row_no, shard = fresh(placed, "row_no", "shard")
+    # Row numbers are written: computed again they would follow how files are dealt to tasks, and so the number of cores.
+    base = scratch.save(placed.withColumn(row_no, F.monotonically_increasing_id()))
     shards = max(1, -(-base.where(F.col("length") < capacity).count() // shard_items))
-    base = base.withColumn(row_no, F.monotonically_increasing_id())
     full = base.where(F.col("length") >= capacity).select("*", (-1 - F.col(row_no)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop(row_no)
     open_ = base.where(F.col("length") < capacity).withColumn(shard, F.pmod(F.xxhash64(row_no), F.lit(shards)))
 

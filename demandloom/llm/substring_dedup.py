@@ -30,15 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, as_bytes, fresh, map_batches
-from ._words import each_text, window_hashes
+from ._words import each_text, sequence_hash, window_hashes
 
 WINDOW = 50
 
 
-def _sequence_hash(h: np.ndarray) -> int:
-    return int(window_hashes(h, len(h))[0].view(np.int64)) if len(h) else 0
-
-
 def _chosen(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all short windows, and for each target window the index of the short one it chooses (leftmost smallest)."""
     half = window // 2
@@ -71,7 +67,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                 continue
             short, pick = _chosen(h, window)
             got = np.unique(short[np.unique(pick)]).view(np.int64)
-            out["h"] += [np.array([_sequence_hash(h)]), got]
+            out["h"] += [np.array([sequence_hash(h)]), got]
             out["doc_id"].append(np.full(len(got) + 1, ids[i]))
             out["n"].append(np.concatenate(([len(h)], np.zeros(len(got), np.int64))))
             if len(out["h"]) > 4000:
@@ -101,7 +97,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
         cols: list[list[np.ndarray]] = [[], [], [], []]
         done: list[tuple[int, int, int, int]] = []
         for i, h in each_text(as_bytes(b.column("text"))):
-            seq = _sequence_hash(h)
+            seq = sequence_hash(h)
             if len(h) < window:
                 continue
             if seq in copies[i]:
@@ -167,7 +163,7 @@ def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
             keep = None
             if spans:
                 h = next(iter(each_text([raw])))[1]
-                seq = _sequence_hash(h)
+                seq = sequence_hash(h)
                 keep = np.ones(len(words), bool)
                 for x in spans:
                     if x["seq"] == seq:

@@ -218,10 +218,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     Null and empty texts get the score of a text that speaks for neither class.
     Null ids, repeated rows and unlabelled documents are scored like any other; an
     empty table gives an empty result.  Without labels of both classes every score
-    is the same.  Only id and text of documents are read; ids must be castable to bigint.
+    is the same.  Only id and text of documents are read; ids that are not bigint
+    meet their labels as far as they can be cast to it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(doc_id).try_cast("long").alias("label_id"))
     # The bounded sample, at most 2 * (max_train + max_curve) small rows, goes to the driver and from there to all tasks.
     found = training_rows(labels, label, held_mod, held_at, max_train + max_curve // 2).collect()
     by = {y: [r["doc_id"] for r in found if r["y"] == y] for y in (0, 1)}
@@ -236,7 +237,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, some = Counts(scale), False
             for b in in_parts(batches):
-                ids = b.column("doc_id").to_pylist()
+                ids = b.column("label_id").to_pylist()
                 for at, run in chunks(as_bytes(b.column("text"))):
                     some = True
                     counts.add(Grams(run, scale), [train_ref.value.get(i) for i in ids[at : at + len(run)]])
@@ -266,10 +267,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_parts(batches):
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(list(features(b)), pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("label_id"), pa.array(list(features(b)), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    keep = spark.createDataFrame([(i,) for i in test], "doc_id long")
-    rows = docs.join(F.broadcast(keep), "doc_id", "left_semi").mapInArrow(sample, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    keep = spark.createDataFrame([(i,) for i in test], "known long")
+    rows = docs.join(F.broadcast(keep), F.col("label_id") == F.col("known"), "left_semi").mapInArrow(sample, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     fitted = fit_curve(np.array([r["x"] for r in rows]).reshape(-1, 2 + len(STRONG)), np.array([test[r["doc_id"]] for r in rows], float))
 

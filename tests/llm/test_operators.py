@@ -456,3 +456,30 @@ def test_empty_tables(spark):
     assert toxicity.score(docs, labels).count() == 0
     assert embedding_dedup.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert chat_tools.link(spark.createDataFrame([], CALLS), TOOLS).count() == 0
+
+
+def thue_morse(n, a, b):
+    """Two sequences that polynomials modulo a power of two can't tell apart, from some length on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_words_and_texts_of_two_letters_stay_apart(spark):
+    one, two = ("".join(x) for x in thue_morse(4096, "a", "b"))
+    first, second = (" ".join(x) for x in thue_morse(4096, "no", "ta"))
+    table = frame(spark, [(1, one), (2, two), (3, first), (4, second), (5, first)])
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(table).collect()}
+    assert got[1] == 1 and got[2] == 2 and got[5] == 3
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.remove(table).collect()}
+    assert removed[5] == 4096 and removed[1] == removed[2] == removed[3] == 0
+
+
+def test_toxicity_learns_from_ids_of_any_kind(spark):
+    """Ids as text meet their labels; those that are no numbers meet none."""
+    rows = [(i, ("grumpf blorgh " if i % 2 else "calm river ") * 3 + f"w{i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    plain = {str(r.doc_id): r.score for r in toxicity.score(frame(spark, rows), labels).collect()}
+    table = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    other = spark.createDataFrame([("none", "calm")], "doc_id string, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(table.select("doc_id", "text").union(other), labels.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()}
+    assert len(set(plain.values())) > 10 and {k: pytest.approx(v, abs=0.05) for k, v in plain.items()} == {k: v for k, v in got.items() if k != "none"}

