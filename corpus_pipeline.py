@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(line_dedup.dedup(docs), docs)
 
 
+def _placed(docs: DataFrame, place: str, scratch: Scratch) -> DataFrame:
+    """docs with a number for each row that no later read changes, however files are dealt to tasks.
+
+    Of a table in files it is the file's number in the order of names, which is written
+    (a row per file), and the row's place in its file; any other table is written with
+    its numbers.
+    """
+    path, at, file = fresh(docs, "path", "at", "file")
+    try:
+        told = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:
+        return scratch.save(docs.withColumn(place, F.monotonically_increasing_id()))
+    files = scratch.save(told.select(path).distinct().coalesce(1).sortWithinPartitions(path).withColumn(file, F.monotonically_increasing_id()))
+    return told.join(F.broadcast(files), path).select(*docs.columns, (F.shiftleft(file, 33) + F.col(at)).alias(place))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, null ids after all others, ties by place in the table.
 
@@ -37,8 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     its own text.  Documents without words are linked with nothing and stay.
     """
     scratch, (place,) = Scratch(spark), fresh(docs, "place")
-    # Docs are a written table, read in the same order every time.
-    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    rows = _placed(docs, place, scratch)
     found = jaccard_join.near_duplicates(rows, doc_id=place).select(F.col("doc_id").alias(place), "component_id")
     found = found.join(rows.select(place, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(place).alias("at")).alias("first")), place)
     groups = found.groupBy("component_id").agg(F.min("first").alias("kept"), F.count("*").alias("n")).where("n > 1").select("component_id", "kept")
