@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import Protocol, Settings, rolling_protocol
 from ..functions.columns import KEYS
-from ..operators import compare, features, forecast, learned, manifest, ordinals, validate
+from ..operators import compare, drift, features, forecast, inventory, learned, manifest, ordinals, smoothing, validate
 from ..operators.workspace import Workspace
 from ..sources import panel, retail_csv
+from ..sources.store import DemandStore
 
 VERSION = "panel-1"
 #: A cutoff so early that late series are not eligible.
@@ -307,6 +308,56 @@ def gbt_forecast(spark, d):
     return tidy(reduce(DataFrame.union, made))
 
 
+def _store(spark, d) -> DemandStore:
+    """The panel as a bucketed table of its own, below the session's shared folder."""
+    space = Workspace(spark)
+    return DemandStore(spark, f"demand_{space.root.rpartition('/')[2]}", f"{space.root}/demand").create(_demand(spark, d))
+
+
+def stored_rolling_features(spark, d):
+    """Rolling features from the bucketed table, without an exchange of its rows."""
+    rows = features.causal(_store(spark, d).read())
+    return tidy(rows.select("date", *KEYS, *(f"rolling_mean_{n}" for n in features.WINDOWS), *(f"rolling_std_{n}" for n in features.WINDOWS), "nonzero_rate_28"))
+
+
+def year_replacement(spark, d):
+    """Units by year after a load of 1999 with all units doubled has replaced that year."""
+    store = _store(spark, d)
+    store.replace(_demand(spark, d).where("year(date) = 1999").withColumn("quantity_sold", F.col("quantity_sold") * 2))
+    return tidy(store.read().groupBy(F.year("date").alias("year")).agg(F.count("*").alias("rows"), F.sum("quantity_sold").alias("units")))
+
+
+def inventory_recommendation(spark, d):
+    _, f = _frame(spark, d)
+    return tidy(inventory.recommend(f).select(*forecast.SERIES, "as_of_date", "assumption_set_id", "policy_name", "lead_time_days", "inventory_position", "forecast_during_lead_time", "safety_stock", "recommended_order_qty"))
+
+
+def inventory_scenarios(spark, d):
+    _, f = _frame(spark, d)
+    return tidy(inventory.scenario_metrics(inventory.recommend(f)))
+
+
+def demand_drift(spark, d):
+    """Each fold's evaluation window against the year before it, by category."""
+    demand, p = _demand(spark, d), _protocol(spark, d)
+    folds = forecast.fold_table(spark, p).select("fold_id", "train_end", "evaluation_end")
+    rows = demand.join(F.broadcast(folds), (F.col("date") > F.date_sub("train_end", 364)) & (F.col("date") <= F.col("evaluation_end"))).withColumn("current", F.col("date") > F.col("train_end"))
+    made = Workspace(spark).save(drift.histograms(rows, ["fold_id", "category", "current"]))
+    return tidy(drift.stability(made.where("NOT current"), made.where("current"), ["fold_id", "category"]))
+
+
+def ets_ensemble_metrics(spark, d):
+    """Baselines, exponential smoothing and ensembles of both kinds, scored alike."""
+    (p, f), space = _frame(spark, d), Workspace(spark)
+    # Much work on few bytes: a fixed number of tasks, which adaptive execution leaves alone.
+    f, bands = space.save(f).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *forecast.SERIES), forecast.band_table(spark, p)
+    single = space.save(forecast.forecasts(f, p).unionByName(smoothing.ets_forecasts(f, p)))
+    metrics = space.save(forecast.series_metrics(single, f, bands))
+    order = [x.fold_id for x in p.development]
+    both = smoothing.ensemble(single, metrics, order, "ensemble_equal", weighted=False).unionByName(smoothing.ensemble(single, metrics, order, "ensemble_weighted"))
+    return tidy(forecast.aggregate_metrics(forecast.union_metrics(metrics, forecast.series_metrics(both, f, bands))))
+
+
 # --- SQL of the same queries ---
 
 _BASE = """
@@ -403,6 +454,37 @@ _TRAIN = _CATALOG + ", src AS (SELECT d.*, c.active_start_date, sku_code, catego
 _MAN = _manifest_sql()
 
 
+def _convolved(days: int) -> str:
+    """c1 .. c<days>: how often the errors of so many days add up to each total."""
+    keys = "fold_id, store_id, sku_id"
+    steps = [f"c1 AS (SELECT {keys}, e AS total, n AS weight FROM err WHERE day = 1)"]
+    steps += [f"c{h} AS (SELECT {keys}, total + e AS total, CAST(sum(weight * n) AS BIGINT) AS weight FROM c{h - 1} JOIN err USING ({keys}) WHERE day = {h} GROUP BY ALL)" for h in range(2, days + 1)]
+    return ", ".join(steps)
+
+
+_STOCK = """
+err AS (SELECT a.fold_id, a.store_id, a.sku_id, CAST((a.date - a.train_end + 83) % 7 + 1 AS BIGINT) AS day, CAST(round(a.q - b.q) AS BIGINT) AS e, count(*) AS n
+  FROM fd a JOIN fd b ON a.fold_id = b.fold_id AND a.store_id = b.store_id AND a.sku_id = b.sku_id AND b.date = a.date - 7 WHERE a.past AND a.date > a.train_end - 84 GROUP BY ALL),
+""" + _convolved(5) + """,
+upto AS (SELECT fold_id, store_id, sku_id, total, CAST(sum(weight) OVER (PARTITION BY fold_id, store_id, sku_id ORDER BY total) AS DOUBLE) AS upto, CAST(sum(weight) OVER (PARTITION BY fold_id, store_id, sku_id) AS DOUBLE) AS everything FROM c5),
+scenario AS (SELECT * FROM (VALUES ('balanced', 1::DOUBLE, 1::DOUBLE), ('shortage_sensitive', 9::DOUBLE, 1::DOUBLE), ('holding_sensitive', 1::DOUBLE, 3::DOUBLE)) t(assumption_set_id, shortage_cost, holding_cost)),
+safe AS (SELECT fold_id, store_id, sku_id, assumption_set_id, shortage_cost, holding_cost, CAST(min(total) FILTER (WHERE upto >= shortage_cost / (shortage_cost + holding_cost) * everything) AS DOUBLE) AS safety_stock FROM upto CROSS JOIN scenario GROUP BY ALL),
+lead AS (SELECT fold_id, store_id, sku_id, any_value(segment) AS segment, train_end AS as_of_date, sum(q) FILTER (WHERE past AND date BETWEEN train_end - 6 AND train_end - 2) AS forecast_during_lead_time,
+  sum(q) FILTER (WHERE past AND date >= train_end - 6) AS inventory_position, sum(q) FILTER (WHERE date BETWEEN train_end + 1 AND train_end + 5) AS actual_demand FROM fd GROUP BY fold_id, store_id, sku_id, train_end),
+stock AS (SELECT *, greatest(0, ceil(greatest(0, forecast_during_lead_time + safety_stock) - inventory_position)) AS recommended_order_qty FROM lead JOIN safe USING (fold_id, store_id, sku_id)),
+outcome AS (SELECT *, greatest(0, actual_demand - inventory_position - recommended_order_qty) AS lost_units, greatest(0, inventory_position + recommended_order_qty - actual_demand) AS left_units FROM stock)
+"""
+
+_DRIFT = """
+span_rows AS (SELECT f.fold_id, d.category, d.date > f.train_end AS cur, quantity_sold, unit_price FROM demand d JOIN folds f ON d.date > f.train_end - 364 AND d.date <= f.evaluation_end),
+binned AS (SELECT fold_id, category, cur, 'quantity' AS feature, coalesce(least(CAST(floor(quantity_sold / 2) AS INT), 40), -1) AS bin FROM span_rows
+  UNION ALL SELECT fold_id, category, cur, 'price', CASE WHEN unit_price IS NULL THEN -1 ELSE least(CAST(floor(unit_price / 50) AS INT), 40) END FROM span_rows
+  UNION ALL SELECT fold_id, category, cur, 'sold', CAST(quantity_sold > 0 AS INT) FROM span_rows),
+hist AS (SELECT fold_id, category, feature, bin, count(*) FILTER (WHERE NOT cur) AS a, count(*) FILTER (WHERE cur) AS b FROM binned GROUP BY ALL),
+share AS (SELECT *, (a + 0.5::DOUBLE) / (sum(a) OVER w + 0.5::DOUBLE * count(*) OVER w) AS p, (b + 0.5::DOUBLE) / (sum(b) OVER w + 0.5::DOUBLE * count(*) OVER w) AS q FROM hist WINDOW w AS (PARTITION BY fold_id, category, feature))
+"""
+
+
 def _sql(select: str, *parts: str) -> str:
     return f"WITH {', '.join([_BASE, *parts])} {select}"
 
@@ -470,6 +552,11 @@ def oracle_sql() -> dict[str, str]:
             FROM agg a JOIN agg r ON a.fold_id = r.fold_id AND a.segment = r.segment AND a.horizon_band = 'all' AND r.horizon_band = 'all' AND r.model_id = 'seasonal_naive_lag_7' AND a.model_id <> r.model_id WHERE a.segment IN ('all', 'intermittent') GROUP BY a.model_id)""", *_AGG_PARTS),
         "lag_features": _sql(f"SELECT date, store_id, sku_id, {_rounded([f'lag_{n}' for n in features.LAGS])} FROM feat", _FEAT),
         "rolling_features": _sql(f"SELECT date, store_id, sku_id, {_rounded([*(f'rolling_mean_{n}' for n in features.WINDOWS), *(f'rolling_std_{n}' for n in features.WINDOWS), 'nonzero_rate_28'])} FROM feat", _FEAT),
+        "stored_rolling_features": _sql(f"SELECT date, store_id, sku_id, {_rounded([*(f'rolling_mean_{n}' for n in features.WINDOWS), *(f'rolling_std_{n}' for n in features.WINDOWS), 'nonzero_rate_28'])} FROM feat", _FEAT),
+        "year_replacement": _sql("SELECT year(date) AS year, count(*) AS rows, round(sum(quantity_sold * CASE WHEN year(date) = 1999 THEN 2 ELSE 1 END), 6) AS units FROM demand GROUP BY ALL"),
+        "inventory_recommendation": _sql(f"SELECT fold_id, store_id, sku_id, as_of_date, assumption_set_id, 'lead_time_quantile' AS policy_name, CAST(5 AS BIGINT) AS lead_time_days, {_rounded(['inventory_position', 'forecast_during_lead_time', 'safety_stock', 'recommended_order_qty'])} FROM stock", _MAN, _FRAME, _STOCK),
+        "inventory_scenarios": _sql("SELECT fold_id, assumption_set_id, CASE WHEN grouping(segment) = 1 THEN 'all' ELSE segment END AS segment, count(*) AS series_count, round(sum(recommended_order_qty), 6) AS ordered_units, round(sum(actual_demand), 6) AS demand_units, count(*) FILTER (WHERE lost_units > 0) AS stockout_series, round(sum(lost_units), 6) AS lost_units, round(sum(left_units), 6) AS left_units, round(1 - sum(lost_units) / nullif(sum(actual_demand), 0), 6) AS fill_rate, round(sum(lost_units * shortage_cost), 6) AS lost_sales_cost, round(sum(left_units * holding_cost), 6) AS holding_cost, round(sum(lost_units * shortage_cost) + sum(left_units * holding_cost), 6) AS total_cost FROM outcome GROUP BY GROUPING SETS ((fold_id, assumption_set_id), (fold_id, assumption_set_id, segment))", _MAN, _FRAME, _STOCK),
+        "demand_drift": _sql("SELECT fold_id, category, feature, CAST(sum(a) AS BIGINT) AS reference_rows, CAST(sum(b) AS BIGINT) AS current_rows, round(sum((q - p) * ln(q / p)), 6) AS stability_index, sum((q - p) * ln(q / p)) > 0.2 AS drifted FROM share GROUP BY ALL", _DRIFT),
         "recency_features": _sql("SELECT date, store_id, sku_id, days_since_nonzero, round(context_mean, 6) AS context_mean FROM feat", _FEAT),
         "calendar_features": _sql("SELECT date, store_id, sku_id, CAST(isodow(date) AS BIGINT) AS day_of_week, CAST(weekofyear(date) AS BIGINT) AS week_of_year, CAST(month(date) AS BIGINT) AS month, CAST(day(date) AS BIGINT) AS day_of_month, CAST(isodow(date) >= 6 AS DOUBLE) AS is_weekend, CAST(event_flag AS DOUBLE) AS event_flag_feature, CAST(snap_eligible AS DOUBLE) AS snap_eligible_feature FROM demand"),
         "price_features": _sql(f"SELECT date, store_id, sku_id, {_rounded(features.PRICE)} FROM feat", _FEAT),
@@ -490,6 +577,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         canonical_demand, unpivot_measures, store_date_filter, canonical_validation, raw_validation, manifest_full, manifest_early_cutoff, segment_counts, stratified_sample, smoke_top_n, series_anti_join, quality_counters, unordered_rows, manifest_validation, zero_runs, price_changes,
         quantity_quantile, missing_price_profile, protocol_coverage, fold_frame, revenue_weights, scaling_denominators, naive_last, seasonal_naive_7, seasonal_naive_28, croston_sba, baseline_predictions, per_series_metrics, aggregate_metrics, model_ranking,
-        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast,
+        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast, stored_rolling_features, year_replacement, inventory_recommendation, inventory_scenarios, demand_drift, ets_ensemble_metrics,
     )
     return {f.__name__: f for f in found}
