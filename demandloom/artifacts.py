@@ -11,18 +11,17 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sources import files
 
-def file_sha256(path: str | Path, chunk: int = 1 << 20) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(chunk):
-            digest.update(part)
-    return digest.hexdigest()
 
+def file_sha256(path: str | Path) -> str:
+    return files.checksums([path])[str(path)][1]
 
-def source_manifest(files: dict[str, str | Path]) -> dict[str, Any]:
+
+def source_manifest(found: dict[str, str | Path]) -> dict[str, Any]:
     """Size and checksum of every source file."""
-    told = {k: {"path": str(p), "bytes": Path(p).stat().st_size, "sha256": file_sha256(p)} for k, p in sorted(files.items())}
+    sums = files.checksums(list(found.values()))
+    told = {k: {"path": str(p), "bytes": sums[str(p)][0], "sha256": sums[str(p)][1]} for k, p in sorted(found.items())}
     return {"files": told, "generated_at": datetime.now(UTC).isoformat()}
 
 
@@ -45,9 +44,9 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def write_json(value: Any, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str))
+    """Beside the tables: on whatever file system Spark resolves the path to."""
+    files.write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
 
 
 def read_json(path: str | Path) -> Any:
-    return json.loads(Path(path).read_text())
+    return json.loads(files.read_text(path))

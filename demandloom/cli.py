@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from .artifacts import read_json
 from .config import Protocol, Settings, load_settings
 from .session import session
+from .sources import files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,11 +48,12 @@ def main(argv: list[str] | None = None) -> int:
         told = validate.validate_canonical(spark.read.parquet(a.path))
     else:
         demand, made = spark.read.parquet(f"{a.dataset}/demand"), spark.read.parquet(f"{a.dataset}/manifest")
-        protocol = Protocol(**json.loads(Path(a.protocol).read_text()))
+        protocol = Protocol(**read_json(a.protocol))
         metadata = read_json(f"{a.dataset}/metadata.json")
         version = metadata["dataset_version"]
         if a.command == "validate-evaluation":
-            told = validate.protocol_checks(demand, made, protocol, version, metadata)
+            pins = f"{a.output}/freeze.json" if a.output else None
+            told = validate.protocol_checks(demand, made, protocol, version, metadata, read_json(pins) if pins and files.exists(pins) else None)
         elif a.command == "freeze-evaluation":
             told = suite.freeze(demand, made, protocol, version, a.output, metadata)
         elif a.command == "run-baselines":

@@ -101,6 +101,9 @@ class Protocol(Strict):
     bands: list[tuple[int, int]] = [(1, 7), (8, 14), (15, 21), (22, 28)]
     weight_window: int = 28
     alpha: float = Field(0.1, gt=0, le=1)
+    #: What transforms learn from, and how a seasonal forecast goes on beyond its lag.
+    transforms_fit_scope: Literal["fold_training_only", "all_rows"] = "fold_training_only"
+    recursive: bool = True
 
     @model_validator(mode="after")
     def _sound(self):

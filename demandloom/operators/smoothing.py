@@ -51,7 +51,8 @@ def ets_forecasts(frame: DataFrame, protocol: Protocol, window_days: int = 730)
     """A row per fold, series and horizon, as forecasts() has them, from a series' last days since its active start."""
     live = F.transform(F.filter("history", lambda x: (x["date"] >= F.col("active_start_date")) & (x["date"] > F.date_sub("train_end", window_days))), lambda x: x["q"])
     rows = frame.select(*SERIES, "segment", "train_end", "actual", ets(live, protocol.horizon)["forecast"].alias("made"))
-    rows = rows.select(*SERIES, "segment", "train_end", "actual", F.posexplode("made").alias("h0", "raw"))
+    # An outer generator: for the plain one Spark adds a filter on the array, and with it computes the array once more.
+    rows = rows.select(*SERIES, "segment", "train_end", "actual", F.posexplode_outer("made").alias("h0", "raw")).where("h0 IS NOT NULL")
     return rows.select(
         *SERIES, "segment", F.lit("ets_weekly").alias("model_id"), F.col("train_end").alias("cutoff_date"), F.date_add("train_end", F.col("h0") + 1).alias("forecast_date"),
         (F.col("h0") + 1).alias("horizon"), F.greatest(F.lit(0.0), "raw").alias("prediction"), F.get("actual", F.col("h0")).alias("actual"), "raw",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,17 @@ from pyspark.sql import functions as F
 from ..artifacts import content_hash, read_json, source_manifest, stable_id, write_json, write_table
 from ..config import COHORT_VERSION, FEATURE_SETS, SCHEMA_VERSION, Protocol, Settings, rolling_protocol
 from ..functions.columns import KEYS
-from ..sources import retail_csv
+from ..sources import files, retail_csv
 from . import compare, features, forecast, learned, manifest, validate
+from .publish import publish, readable
 
 
 def prepare(spark: SparkSession, folder: str, output: str, settings: Settings) -> dict[str, Any]:
     """Raw files to canonical table, manifest and reports under ``output``."""
-    files = retail_csv.discover(folder)
-    version = stable_id({"files": {k: v["sha256"] for k, v in source_manifest(files)["files"].items()}, "settings": settings.model_dump(mode="json"), "versions": [SCHEMA_VERSION, COHORT_VERSION, retail_csv.ADAPTER_VERSION]}, f"retail-{settings.data.profile}")
-    sales, prices = retail_csv.read_sales(spark, files["sales"]), retail_csv.read_prices(spark, files["prices"])
-    calendar = retail_csv.read_calendar(spark, files["calendar"], settings.data.store_id)
+    found = retail_csv.discover(folder)
+    version = stable_id({"files": {k: v["sha256"] for k, v in source_manifest(found)["files"].items()}, "settings": settings.model_dump(mode="json"), "versions": [SCHEMA_VERSION, COHORT_VERSION, retail_csv.ADAPTER_VERSION]}, f"retail-{settings.data.profile}")
+    sales, prices = retail_csv.read_sales(spark, found["sales"]), retail_csv.read_prices(spark, found["prices"])
+    calendar = retail_csv.read_calendar(spark, found["calendar"], settings.data.store_id)
     days = retail_csv.day_columns(sales.columns)
     mine = lambda df: df.where(F.col("store_id") == settings.data.store_id)
     raw = validate.raw_checks(mine(sales), calendar, mine(prices), spark.createDataFrame([(d,) for d in days], "d string")).first().asDict()
@@ -47,14 +47,18 @@ def prepare(spark: SparkSession, folder: str, output: str, settings: Settings) -
     passed = blocking["selected_series_count"] > 0 and not any(v for k, v in blocking.items() if k != "selected_series_count")
     report = {"dataset_version": version, "status": "passed" if passed else "failed", "raw_validation": raw, "validation": told, "manifest_validation": manifest_told, "blocking_checks": blocking, **validate.quality_profile(demand, made, settings.thresholds), "rows": demand.count(), "series": made.where("included").count()}
     write_json(report, f"{output}/quality_report.json")
-    write_json(source_manifest(files), f"{output}/source_manifest.json")
+    write_json(source_manifest(found), f"{output}/source_manifest.json")
     write_json({"dataset_version": version, "eligibility_cutoff_date": str(cutoff), "reference_end_date": str(protocol.folds[-1].train_end), "series_count": report["series"], "row_count": report["rows"], "quality_status": report["status"], "profile": settings.data.profile, "schema_version": SCHEMA_VERSION, "cohort_definition_version": COHORT_VERSION}, f"{output}/metadata.json")
     return report
 
 
 def freeze(demand: DataFrame, made: DataFrame, protocol: Protocol, dataset_version: str, output: str, metadata: dict[str, Any] | None = None) -> dict[str, Any]:
-    """Checks a protocol and writes it with content hashes; raises if a check fails."""
-    report = validate.protocol_checks(demand, made, protocol, dataset_version, metadata)
+    """Checks a protocol and writes it with content hashes; raises if a check fails.
+
+    What an earlier freeze in the same place has pinned must not have changed.
+    """
+    earlier = f"{output}/freeze.json"
+    report = validate.protocol_checks(demand, made, protocol, dataset_version, metadata, read_json(earlier) if files.exists(earlier) else None)
     validate.require(report["status"] == "passed", f"protocol checks failed: {report['checks']}")
     write_json(protocol.model_dump(mode="json"), f"{output}/protocol.json")
     write_json(report, f"{output}/leakage_report.json")
@@ -64,7 +68,11 @@ def freeze(demand: DataFrame, made: DataFrame, protocol: Protocol, dataset_versi
 
 
 def run_baselines(demand: DataFrame, made: DataFrame, protocol: Protocol, output: str) -> dict[str, Any]:
-    """Forecasts, scores and ranking of the development folds, written with content hashes."""
+    """Forecasts, scores and ranking of the development folds, published whole with content hashes."""
+    return publish(demand.sparkSession, output, lambda at: _baselines(demand, made, protocol, at), ["folds", "predictions", "series_metrics", "aggregate_metrics"], ["result.json", "summary.json"])
+
+
+def _baselines(demand: DataFrame, made: DataFrame, protocol: Protocol, output: str) -> dict[str, Any]:
     spark = demand.sparkSession
     frame = forecast.fold_frame(demand, made, forecast.fold_table(spark, protocol))
     write_table(frame, f"{output}/folds")
@@ -85,7 +93,7 @@ def run_baselines(demand: DataFrame, made: DataFrame, protocol: Protocol, output
 
 def verify_baselines(demand: DataFrame, made: DataFrame, protocol: Protocol, reference: str, output: str) -> dict[str, Any]:
     """Runs the suite again and compares everything that must be equal."""
-    before, now = read_json(Path(reference) / "result.json"), run_baselines(demand, made, protocol, output)
+    before, now = read_json(f"{readable(reference)}/result.json"), run_baselines(demand, made, protocol, output)
     checks = {k: before[k] == now[k] for k in ("run_id", "folds", "models", "rows", "hashes", "locked_fold_read")}
     report = {"status": "passed" if all(checks.values()) else "failed", "checks": checks}
     write_json(report, f"{output}/reproducibility.json")
@@ -94,7 +102,8 @@ def verify_baselines(demand: DataFrame, made: DataFrame, protocol: Protocol, ref
 
 def pinned(made: DataFrame, protocol: Protocol, baselines: str) -> dict[str, Any]:
     """The baseline run's result, after a check that it was made from this manifest and protocol and is as it was written."""
-    result, spark = read_json(Path(baselines) / "result.json"), made.sparkSession
+    baselines, spark = readable(baselines), made.sparkSession
+    result = read_json(f"{baselines}/result.json")
     run = stable_id({"protocol": protocol.model_dump(mode="json"), "manifest": content_hash(made)}, "baselines")
     validate.require(result["run_id"] == run, f"baselines were made from another manifest or protocol: {result['run_id']}, expected {run}")
     validate.require(result["locked_fold_read"] is False, "baselines have read the locked fold")
@@ -104,8 +113,13 @@ def pinned(made: DataFrame, protocol: Protocol, baselines: str) -> dict[str, Any
 
 
 def run_challengers(demand: DataFrame, made: DataFrame, protocol: Protocol, baselines: str, output: str, series_limit: int | None = None, iterations: int = 2000, **training: Any) -> dict[str, Any]:
-    """Boosted trees of every feature set on the development folds, scored like the baselines, ranked with them and compared in pairs."""
-    spark, base = demand.sparkSession, pinned(made, protocol, baselines)
+    """Boosted trees of every feature set on the development folds, scored like the baselines, ranked with them, compared in pairs, and published whole."""
+    make = lambda at: _challengers(demand, made, protocol, baselines, at, series_limit, iterations, **training)
+    return publish(demand.sparkSession, output, make, ["series_metrics", "aggregate_metrics"], ["result.json"])
+
+
+def _challengers(demand: DataFrame, made: DataFrame, protocol: Protocol, baselines: str, output: str, series_limit: int | None, iterations: int, **training: Any) -> dict[str, Any]:
+    spark, base, baselines = demand.sparkSession, pinned(made, protocol, baselines), readable(baselines)
     codes = features.catalog(demand, made)
     codes = codes.where(F.col("sku_code") < series_limit) if series_limit else codes
     paths = []

@@ -164,6 +164,8 @@ def protocol_checks(demand: DataFrame, manifest: DataFrame, protocol, dataset_ve
         "evaluation_windows_contiguous": all(b.evaluation_start == a.evaluation_end + timedelta(days=1) for a, b in zip(folds, folds[1:], strict=False)),
         "segment_not_used_as_model_feature": all("segment" not in names for names in FEATURE_SETS.values()),
         "target_features_are_lagged": min(LAGS) >= 1,
+        "transforms_fit_per_fold": protocol.transforms_fit_scope == "fold_training_only",
+        "seasonal_naive_is_recursive": protocol.recursive,
         "future_price_is_lagged": all("unit_price" not in names for names in FEATURE_SETS.values()),
     }
     if metadata is not None:

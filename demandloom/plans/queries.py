@@ -298,6 +298,15 @@ def pinball_coverage(spark, d):
     return tidy(compare.probabilistic_metrics(ordered).join(crossed, ["fold_id", "model_id"]))
 
 
+def quantile_forecast_scores(spark, d):
+    """Quantile forecasts by the batch predictor, scored."""
+    (p, f), space = _frame(spark, d), Workspace(spark)
+    f = space.save(f)
+    made = learned.batch_predictor(f, learned.seasonal_quantiles, p.horizon).join(f.select(*forecast.SERIES, "segment", "actual"), forecast.SERIES)
+    rows = made.select("fold_id", F.lit("seasonal_quantiles").alias("model_id"), "segment", F.inline(F.arrays_zip("q10", "q50", "q90", "actual")))
+    return tidy(compare.probabilistic_metrics(compare.ordered_quantiles(rows)))
+
+
 def gbt_forecast(spark, d):
     p, space = _protocol(spark, d), Workspace(spark)
     demand = space.save(_demand(spark, d))
@@ -557,6 +566,7 @@ def oracle_sql() -> dict[str, str]:
         "inventory_recommendation": _sql(f"SELECT fold_id, store_id, sku_id, as_of_date, assumption_set_id, 'lead_time_quantile' AS policy_name, CAST(5 AS BIGINT) AS lead_time_days, {_rounded(['inventory_position', 'forecast_during_lead_time', 'safety_stock', 'recommended_order_qty'])} FROM stock", _MAN, _FRAME, _STOCK),
         "inventory_scenarios": _sql("SELECT fold_id, assumption_set_id, CASE WHEN grouping(segment) = 1 THEN 'all' ELSE segment END AS segment, count(*) AS series_count, round(sum(recommended_order_qty), 6) AS ordered_units, round(sum(actual_demand), 6) AS demand_units, count(*) FILTER (WHERE lost_units > 0) AS stockout_series, round(sum(lost_units), 6) AS lost_units, round(sum(left_units), 6) AS left_units, round(1 - sum(lost_units) / nullif(sum(actual_demand), 0), 6) AS fill_rate, round(sum(lost_units * shortage_cost), 6) AS lost_sales_cost, round(sum(left_units * holding_cost), 6) AS holding_cost, round(sum(lost_units * shortage_cost) + sum(left_units * holding_cost), 6) AS total_cost FROM outcome GROUP BY GROUPING SETS ((fold_id, assumption_set_id), (fold_id, assumption_set_id, segment))", _MAN, _FRAME, _STOCK),
         "demand_drift": _sql("SELECT fold_id, category, feature, CAST(sum(a) AS BIGINT) AS reference_rows, CAST(sum(b) AS BIGINT) AS current_rows, round(sum((q - p) * ln(q / p)), 6) AS stability_index, sum((q - p) * ln(q / p)) > 0.2 AS drifted FROM share GROUP BY ALL", _DRIFT),
+        "quantile_forecast_scores": _sql("SELECT fold_id, 'seasonal_quantiles' AS model_id, CASE WHEN grouping(segment) = 1 THEN 'all' ELSE segment END AS segment, count(*) AS observation_count, round(avg(CAST(actual BETWEEN q[1] AND q[3] AS INT)), 6) AS interval_80_coverage, round(avg(q[3] - q[1]), 6) AS interval_80_mean_width, " + ", ".join(f"round(avg(greatest({x}::DOUBLE * (actual - q[{k}]), ({x}::DOUBLE - 1) * (actual - q[{k}]))), 6) AS pinball_q{int(x * 100)}" for k, x in ((1, 0.1), (2, 0.5), (3, 0.9))) + " FROM quantiles GROUP BY GROUPING SETS ((fold_id), (fold_id, segment))", _MAN, _FRAME, "ahead AS (SELECT fold_id, store_id, sku_id, segment, date, train_end, q AS actual FROM fd WHERE NOT past), quantiles AS (SELECT a.fold_id, a.store_id, a.sku_id, a.segment, a.date, any_value(a.actual) AS actual, quantile_cont(h.q, [0.1, 0.5, 0.9]) AS q FROM ahead a JOIN fd h ON a.fold_id = h.fold_id AND a.store_id = h.store_id AND a.sku_id = h.sku_id AND h.past AND h.date > h.train_end - 512 AND (a.date - h.date) % 7 = 0 GROUP BY ALL)"),
         "recency_features": _sql("SELECT date, store_id, sku_id, days_since_nonzero, round(context_mean, 6) AS context_mean FROM feat", _FEAT),
         "calendar_features": _sql("SELECT date, store_id, sku_id, CAST(isodow(date) AS BIGINT) AS day_of_week, CAST(weekofyear(date) AS BIGINT) AS week_of_year, CAST(month(date) AS BIGINT) AS month, CAST(day(date) AS BIGINT) AS day_of_month, CAST(isodow(date) >= 6 AS DOUBLE) AS is_weekend, CAST(event_flag AS DOUBLE) AS event_flag_feature, CAST(snap_eligible AS DOUBLE) AS snap_eligible_feature FROM demand"),
         "price_features": _sql(f"SELECT date, store_id, sku_id, {_rounded(features.PRICE)} FROM feat", _FEAT),
@@ -577,6 +587,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         canonical_demand, unpivot_measures, store_date_filter, canonical_validation, raw_validation, manifest_full, manifest_early_cutoff, segment_counts, stratified_sample, smoke_top_n, series_anti_join, quality_counters, unordered_rows, manifest_validation, zero_runs, price_changes,
         quantity_quantile, missing_price_profile, protocol_coverage, fold_frame, revenue_weights, scaling_denominators, naive_last, seasonal_naive_7, seasonal_naive_28, croston_sba, baseline_predictions, per_series_metrics, aggregate_metrics, model_ranking,
-        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast, stored_rolling_features, year_replacement, inventory_recommendation, inventory_scenarios, demand_drift, ets_ensemble_metrics,
+        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast, stored_rolling_features, year_replacement, inventory_recommendation, inventory_scenarios, demand_drift, ets_ensemble_metrics, quantile_forecast_scores,
     )
     return {f.__name__: f for f in found}

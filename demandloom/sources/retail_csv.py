@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import joined_names
+from . import files
 
 IDS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 #: File names, the preferred sales file first.
@@ -18,15 +19,15 @@ SALES, CALENDAR, PRICES = ["sales_train_evaluation.csv", "sales_train_validation
 ADAPTER_VERSION = "retail-csv-1"
 
 
-def discover(folder: str | Path) -> dict[str, Path]:
-    """Paths of the three files; all that are missing are named in one error."""
-    folder = Path(folder)
-    sales = next((folder / n for n in SALES if (folder / n).exists()), None)
-    found = {"sales": sales, "calendar": folder / CALENDAR, "prices": folder / PRICES}
-    missing = [" or ".join(SALES)] * (sales is None) + [p.name for k, p in found.items() if k != "sales" and not p.exists()]
+def discover(folder: str | Path) -> dict[str, str]:
+    """Paths of the three files on any file system; all that are missing are named in one error."""
+    at = {n: f"{str(folder).rstrip('/')}/{n}" for n in (*SALES, CALENDAR, PRICES)}
+    there = {n: p for n, p in at.items() if files.exists(p)}
+    sales = next((n for n in SALES if n in there), None)
+    missing = [" or ".join(SALES)] * (sales is None) + [n for n in (CALENDAR, PRICES) if n not in there]
     if missing:
         raise FileNotFoundError(f"missing in {folder}: {', '.join(missing)}")
-    return found
+    return {"sales": there[sales], "calendar": there[CALENDAR], "prices": there[PRICES]}
 
 
 def header(spark: SparkSession, path: str | Path) -> list[str]:

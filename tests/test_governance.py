@@ -85,6 +85,10 @@ def test_protocol_checks_read_metadata_and_pins(spark):
     metadata = {"dataset_version": "v", "eligibility_cutoff_date": "2026-01-08", "schema_version": SCHEMA_VERSION, "cohort_definition_version": COHORT_VERSION}
     told = validate.protocol_checks(df, made, SMALL, "v", metadata, {"manifest_hash": "x"})
     assert [k for k, ok in told["checks"].items() if not ok] == ["manifest_checksum_match"]
+    assert len(told["checks"]) == 20
+    loose = SMALL.model_copy(update={"transforms_fit_scope": "all_rows", "recursive": False})
+    told = validate.protocol_checks(df, made, loose, "v", metadata)
+    assert [k for k, ok in told["checks"].items() if not ok] == ["transforms_fit_per_fold", "seasonal_naive_is_recursive"]
     metadata["schema_version"] = "other"
     assert not validate.protocol_checks(df, made, SMALL, "v", metadata)["checks"]["schema_version_match"]
 
@@ -112,3 +116,11 @@ def test_challengers_are_pinned_scored_ranked_and_compared(spark, tmp_path, monk
     spark.read.parquet(str(tmp_path / "b/series_metrics")).limit(1).write.mode("append").parquet(str(tmp_path / "b/aggregate_metrics"))
     with pytest.raises(ValueError, match="has changed"):
         suite.pinned(made, SMALL, str(tmp_path / "b"))
+
+
+def test_a_second_freeze_keeps_to_the_first(spark, tmp_path):
+    df, made = suite_tables(spark)
+    frozen = suite.freeze(df, made, SMALL, "v", str(tmp_path))
+    assert suite.freeze(df, made, SMALL, "v", str(tmp_path)) == frozen
+    with pytest.raises(ValueError, match="manifest_checksum_match"):
+        suite.freeze(df, made.withColumn("segment", F.lit("medium")), SMALL, "v", str(tmp_path))
