@@ -84,17 +84,20 @@ def scales(history: Column) -> Column:
     return F.struct(null0(mean(lambda d: d * d)).alias("squared"), null0(mean(F.abs)).alias("absolute"))
 
 
-def forecasts(frame: DataFrame, protocol: Protocol) -> DataFrame:
-    """A row per fold, series, model and horizon."""
+def forecasts(frame: DataFrame, protocol: Protocol, scored: bool = False) -> DataFrame:
+    """A row per fold, series, model and horizon; ``scored``: with the series' weight and scales, which series_metrics then needn't join."""
     q = F.col("q__")
     live = F.transform(F.filter("history", lambda x: x["date"] >= F.col("active_start_date")), lambda x: x["q"])
     made = F.array(*(F.struct(F.lit(m).alias("model_id"), (croston_sba(F.col("live__"), protocol.horizon, protocol.alpha) if lag is None else seasonal_naive(q, protocol.horizon, lag)).alias("values")) for m, lag in model_ids(protocol).items()))
-    rows = frame.select(*SERIES, "segment", "train_end", "actual", F.transform("history", lambda x: x["q"]).alias("q__"), live.alias("live__"))
-    rows = rows.select(*SERIES, "segment", "train_end", "actual", F.inline(made))
-    rows = rows.select(*SERIES, "segment", "train_end", "actual", "model_id", F.posexplode("values").alias("h0", "raw"))
+    more = ["weight_revenue", "scale"] if scored else []
+    rows = frame.select(*SERIES, "segment", "train_end", "actual", "weight_revenue", F.transform("history", lambda x: x["q"]).alias("q__"), live.alias("live__"))
+    rows = rows.withColumn("scale", scales(q)) if scored else rows
+    # Outer generators: for plain ones Spark filters on the arrays first, and so makes all forecasts twice.
+    rows = rows.select(*SERIES, "segment", "train_end", "actual", *more, F.inline_outer(made))
+    rows = rows.select(*SERIES, "segment", "train_end", "actual", *more, "model_id", F.posexplode_outer("values").alias("h0", "raw")).where("h0 IS NOT NULL")
     return rows.select(
         *SERIES, "segment", "model_id", F.col("train_end").alias("cutoff_date"), F.date_add("train_end", F.col("h0") + 1).alias("forecast_date"),
-        (F.col("h0") + 1).alias("horizon"), F.greatest(F.lit(0.0), "raw").alias("prediction"), F.get("actual", F.col("h0")).alias("actual"), "raw",
+        (F.col("h0") + 1).alias("horizon"), F.greatest(F.lit(0.0), "raw").alias("prediction"), F.get("actual", F.col("h0")).alias("actual"), "raw", *more,
     )
 
 
@@ -104,16 +107,19 @@ def band_table(spark: SparkSession, protocol: Protocol) -> DataFrame:
 
 def series_metrics(predictions: DataFrame, frame: DataFrame, bands: DataFrame, forecast: str = "raw") -> DataFrame:
     """RMSSE, MASE, WAPE and bias per fold, model, series and band; scaled metrics are null where the scale is."""
-    base = frame.select(*SERIES, "weight_revenue", scales(F.transform("history", lambda x: x["q"])).alias("scale"))
+    known = {"weight_revenue", "scale"} <= set(predictions.columns)
     e = F.col(forecast) - F.col("actual")
     # A handful of bands: the small side of a range join.
     rows = predictions.join(F.broadcast(bands), F.col("horizon").between(F.col("horizon_start"), F.col("horizon_end")))
     sums = rows.groupBy(*SERIES, "model_id", "segment", "horizon_band", "horizon_start", "horizon_end").agg(
         F.sum("actual").alias("actual_sum"), F.sum(forecast).alias("forecast_sum"), F.sum(F.abs(e)).alias("absolute_error_sum"),
         F.sum(e * e).alias("squared_error_sum"), F.sum(e).alias("error_sum"), F.count("*").alias("observation_count"),
+        *([F.first("weight_revenue").alias("weight_revenue"), F.first("scale").alias("scale")] if known else []),
     )
+    if not known:
+        sums = sums.join(frame.select(*SERIES, "weight_revenue", scales(F.transform("history", lambda x: x["q"])).alias("scale")), SERIES)
     n, total = F.col("observation_count"), F.col("actual_sum")
-    return sums.join(base, SERIES).select(
+    return sums.select(
         *SERIES, "model_id", "segment", "horizon_band", "horizon_start", "horizon_end", "weight_revenue",
         F.sqrt(F.col("squared_error_sum") / n / F.col("scale.squared")).alias("rmsse"), (F.col("absolute_error_sum") / n / F.col("scale.absolute")).alias("mase"),
         F.when(total > 0, F.col("absolute_error_sum") / total).alias("wape"), F.when(total > 0, F.col("error_sum") / total).alias("normalized_bias"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
@@ -32,6 +33,10 @@ def _demand(spark: SparkSession, d: str) -> DataFrame:
     return panel.demand_daily(spark, d)
 
 
+def _part_demand(spark: SparkSession, d: str) -> DataFrame:
+    return panel.demand_daily(spark, d, panel.PARTS)
+
+
 def date_span(spark: SparkSession, d: str) -> tuple[date, date]:
     """First and last day of the panel."""
     return tuple(spark.read.parquet(f"{d}/lineitem.parquet").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first())
@@ -203,7 +208,7 @@ def baseline_predictions(spark, d):
 
 def _metrics(spark, d):
     p, f = _frame(spark, d)
-    return forecast.series_metrics(forecast.forecasts(f, p), f, forecast.band_table(spark, p))
+    return forecast.series_metrics(forecast.forecasts(f, p, scored=True), f, forecast.band_table(spark, p))
 
 
 def per_series_metrics(spark, d):
@@ -317,6 +322,20 @@ def gbt_forecast(spark, d):
     return tidy(reduce(DataFrame.union, made))
 
 
+def part_demand_weeks(spark, d):
+    """The whole panel of parts, whose number grows with the tables, by week."""
+    rows = _part_demand(spark, d).groupBy(panel.week().alias("week"))
+    return tidy(rows.agg(F.count("*").alias("days"), F.sum("quantity_sold").alias("units"), F.count_if(F.col("quantity_sold") > 0).alias("sold_days"), F.count("unit_price").alias("priced_days"), F.count_if("event_flag").alias("event_days")))
+
+
+def part_baseline_metrics(spark, d):
+    """All baselines of every part on all development folds, scored and aggregated."""
+    demand, p = _part_demand(spark, d), _protocol(spark, d)
+    f = forecast.fold_frame(demand, _manifest(demand, p), forecast.fold_table(spark, p))
+    metrics = forecast.series_metrics(forecast.forecasts(f, p, scored=True), f, forecast.band_table(spark, p))
+    return tidy(forecast.aggregate_metrics(metrics).withColumn("weight_revenue", F.round("weight_revenue", 2)))
+
+
 def _store(spark, d) -> DemandStore:
     """The panel as a bucketed table of its own, below the session's shared folder."""
     space = Workspace(spark)
@@ -370,7 +389,7 @@ def ets_ensemble_metrics(spark, d):
 # --- SQL of the same queries ---
 
 _BASE = """
-base AS (SELECT CAST(l_shipdate AS DATE) AS date, l_quantity AS q, l_extendedprice / l_quantity AS p, p_type, p_brand, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
+base AS (SELECT CAST(l_shipdate AS DATE) AS date, l_quantity AS q, l_extendedprice / l_quantity AS p, p_partkey, p_type, p_brand, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
 lv AS (SELECT date, q, p, 'TYPE' AS category, p_type AS v FROM base UNION ALL SELECT date, q, p, 'BRAND', p_brand FROM base UNION ALL SELECT date, q, p, 'NAME', p_name FROM base),
 sales AS (SELECT category, v, date, sum(q) AS q FROM lv GROUP BY ALL),
 prices AS (SELECT category, v, CAST(floor((date - DATE '1995-01-02') / 7.0) AS BIGINT) AS wk, max(p) AS price FROM lv GROUP BY ALL),
@@ -494,8 +513,12 @@ share AS (SELECT *, (a + 0.5::DOUBLE) / (sum(a) OVER w + 0.5::DOUBLE * count(*)
 """
 
 
-def _sql(select: str, *parts: str) -> str:
-    return f"WITH {', '.join([_BASE, *parts])} {select}"
+#: The same with a series per part.
+_PART_BASE = re.sub(r"lv AS \(.*?\),\n", "lv AS (SELECT date, q, p, 'PART' AS category, CAST(p_partkey AS VARCHAR) AS v FROM base),\n", _BASE, count=1)
+
+
+def _sql(select: str, *parts: str, base: str = _BASE) -> str:
+    return f"WITH {', '.join([base, *parts])} {select}"
 
 
 def _rounded(names: list[str]) -> str:
@@ -555,6 +578,8 @@ def oracle_sql() -> dict[str, str]:
         "baseline_predictions": _sql(f"SELECT fold_id, model_id, store_id, sku_id, segment, cutoff_date, forecast_date, horizon, {_rounded(['prediction', 'actual'])} FROM pred", _MAN, _FRAME, _FORECAST),
         "per_series_metrics": _sql(f"SELECT fold_id, model_id, store_id, sku_id, segment, horizon_band, {_BAND}, observation_count, {_rounded(['weight_revenue', 'rmsse', 'mase', 'wape', 'normalized_bias', 'actual_sum', 'forecast_sum', 'absolute_error_sum', 'squared_error_sum', 'error_sum'])} FROM met", *_AGG_PARTS),
         "aggregate_metrics": _sql(f"SELECT fold_id, model_id, segment, horizon_band, {_BAND}, series_count, rmsse_valid_count, rmsse_invalid_count, mase_valid_count, zero_actual_series_count, round(weight_revenue, 2) AS weight_revenue, {_rounded(['weight_coverage', 'weighted_rmsse', 'mase_mean', 'wape', 'normalized_bias'])} FROM agg", *_AGG_PARTS),
+        "part_baseline_metrics": _sql(f"SELECT fold_id, model_id, segment, horizon_band, {_BAND}, series_count, rmsse_valid_count, rmsse_invalid_count, mase_valid_count, zero_actual_series_count, round(weight_revenue, 2) AS weight_revenue, {_rounded(['weight_coverage', 'weighted_rmsse', 'mase_mean', 'wape', 'normalized_bias'])} FROM agg", *_AGG_PARTS, base=_PART_BASE),
+        "part_demand_weeks": _sql("SELECT CAST(floor((date - DATE '1995-01-02') / 7.0) AS BIGINT) AS week, count(*) AS days, round(sum(quantity_sold), 6) AS units, count(*) FILTER (WHERE quantity_sold > 0) AS sold_days, count(unit_price) AS priced_days, count(*) FILTER (WHERE event_flag) AS event_days FROM demand GROUP BY ALL", base=_PART_BASE),
         "model_ranking": _sql(_RANKING, *_AGG_PARTS),
         "champion_policy": _sql("""SELECT model_id, round(change, 6) AS change, round(folds_won, 6) AS folds_won, round(worst, 6) AS worst_intermittent, (change <= -0.05 AND folds_won >= 2 / 3 AND coalesce(worst, 0) <= 0.03) AS champion FROM (
             SELECT a.model_id, avg(a.weighted_rmsse) FILTER (WHERE a.segment = 'all') / avg(r.weighted_rmsse) FILTER (WHERE a.segment = 'all') - 1 AS change, avg(CAST(a.weighted_rmsse / r.weighted_rmsse < 1 AS INT)) FILTER (WHERE a.segment = 'all') AS folds_won, max(a.weighted_rmsse / r.weighted_rmsse - 1) FILTER (WHERE a.segment = 'intermittent') AS worst
@@ -587,6 +612,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         canonical_demand, unpivot_measures, store_date_filter, canonical_validation, raw_validation, manifest_full, manifest_early_cutoff, segment_counts, stratified_sample, smoke_top_n, series_anti_join, quality_counters, unordered_rows, manifest_validation, zero_runs, price_changes,
         quantity_quantile, missing_price_profile, protocol_coverage, fold_frame, revenue_weights, scaling_denominators, naive_last, seasonal_naive_7, seasonal_naive_28, croston_sba, baseline_predictions, per_series_metrics, aggregate_metrics, model_ranking,
-        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast, stored_rolling_features, year_replacement, inventory_recommendation, inventory_scenarios, demand_drift, ets_ensemble_metrics, quantile_forecast_scores,
+        champion_policy, lag_features, rolling_features, recency_features, calendar_features, price_features, training_frame, series_catalog, price_medians, price_fill, metric_union, paired_difference, bootstrap_ci, pinball_coverage, gbt_forecast, stored_rolling_features, year_replacement, inventory_recommendation, inventory_scenarios, demand_drift, ets_ensemble_metrics, quantile_forecast_scores, part_demand_weeks, part_baseline_metrics,
     )
     return {f.__name__: f for f in found}

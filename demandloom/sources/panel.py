@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import joined_names
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Levels of series and the part's attribute that names them; part by part, series grow with the tables.
+LEVELS, PARTS = (("TYPE", "p_type"), ("BRAND", "p_brand"), ("NAME", "p_name")), (("PART", "p_partkey"),)
+
+
+def _base(spark: SparkSession, sf_dir: str, levels: tuple[tuple[str, str], ...]) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_brand", "p_name")
     both = line.join(part, line["l_partkey"] == part["p_partkey"])
-    levels = F.array(*(F.struct(F.lit(c).alias("category"), F.col(v).alias("value")) for c, v in (("TYPE", "p_type"), ("BRAND", "p_brand"), ("NAME", "p_name"))))
-    return both.select("date", "l_quantity", "price", F.inline(levels))
+    named = F.array(*(F.struct(F.lit(c).alias("category"), F.col(v).cast("string").alias("value")) for c, v in levels))
+    return both.select("date", "l_quantity", "price", F.inline(named))
 
 
 def week(d: str = "date"):
@@ -32,8 +36,8 @@ def calendar(dates: DataFrame) -> DataFrame:
     return dates.select("date", week().alias("wk"), one.alias("event_name_1"), two.alias("event_name_2"), (F.dayofmonth("date") <= 10).alias("snap_eligible"))
 
 
-def demand_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _base(spark, sf_dir)
+def demand_daily(spark: SparkSession, sf_dir: str, levels: tuple[tuple[str, str], ...] = LEVELS) -> DataFrame:
+    base = _base(spark, sf_dir, levels)
     sales = base.groupBy("category", "value", "date").agg(F.sum("l_quantity").alias("quantity"), F.max("price").alias("day_price"))
     prices = sales.groupBy("category", "value", week().alias("wk")).agg(F.max("day_price").alias("unit_price"))
     span = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b"))
