@@ -6,9 +6,10 @@ mapped to 0..1 by a logistic curve.  Bytes rather than words, so that inflected
 newly coined expressions of a family share evidence.
 
 * The highest order (six bytes) has counts of its own per class, with absolute
-  discounting by n1 / (n1 + 2 n2), so that a gram seen once keeps evidence.  The class models are fitted on a bounded sample of labelled rows
-  (``max_train`` documents a class, by hash of the id), both classes equally large
-  so that their backoff masses are alike.
+  discounting by n1 / (n1 + 2 n2), so that a gram seen once keeps evidence.  The
+  class models are fitted on a bounded sample of labelled rows, up to ``max_train``
+  documents of each class by hash of the id.  Where one class is the smaller, its
+  longer backoff is a constant that the curve takes out.
 * What a class has not seen backs off to lower orders that both share: Kneser-Ney
   continuation counts over *all* documents.  A rare expression that neither class
   has seen thus says nothing about toxicity.
@@ -228,8 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     by = {y: [r["doc_id"] for r in found if r["y"] == y] for y in (0, 1)}
     share = max_curve / (2 * max_train + max_curve)
     fold = {i: zlib.crc32(b"curve%d" % i) < share * 2**32 for y in by for i in by[y]}
-    both = min(sum(not fold[i] for i in by[y]) for y in by)
-    train = {i: y for y in by for i in [i for i in by[y] if not fold[i]][:both]}
+    train = {i: y for y in by for i in by[y] if not fold[i]}
     test = {i: y for y in by for i in by[y] if fold[i]}
     train_ref = spark.sparkContext.broadcast(train)
 
