@@ -8,8 +8,10 @@ newly coined expressions of a family share evidence.
 * The highest order (six bytes) has counts of its own per class, with absolute
   discounting by n1 / (n1 + 2 n2), so that a gram seen once keeps evidence.  The
   class models are fitted on a bounded sample of labelled rows, up to ``max_train``
-  documents of each class by hash of the id.  Where one class is the smaller, its
-  longer backoff is a constant that the curve takes out.
+  documents of each class by hash of the id.  A class with more rows knows more
+  contexts, and pays more where a text leaves one; over whole texts the evidence of
+  all rows outweighs that (README), but a text of a few words of the larger class in
+  an unknown order may look like the smaller one.
 * What a class has not seen backs off to lower orders that both share: Kneser-Ney
   continuation counts over *all* documents.  A rare expression that neither class
   has seen thus says nothing about toxicity.

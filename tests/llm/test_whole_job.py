@@ -40,12 +40,3 @@ def test_larger_tables_tell_the_same():
         told.append(toxicity.Model(counts.t).features(toxicity.Grams(texts, scale)))
     assert abs(told[0] - told[1]).max() < 0.05
     assert told[1][40:, 0].min() > told[1][:40, 0].max()
-
-
-def test_toxicity_uses_all_ordinary_rows(spark):
-    """Ordinary rows beyond the number of toxic ones are learned from: a word that only they hold speaks for ordinary."""
-    rows = [(i, f"shared text here {'grumpf' if i < 30 else 'meadow' if i < 60 else 'valley'}") for i in range(600)] + [(9001, "valley"), (9002, "grumpf")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(600)], "doc_id long, toxic int")
-    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).where("doc_id > 9000").collect()}
-    assert got[9001] < 0.3 < got[9002]
