@@ -82,18 +82,26 @@ def quality_counters(frame: DataFrame, manifest: DataFrame, dataset_version: str
     q, p = F.col("quantity_sold"), F.col("unit_price")
     odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
     event, name = F.col("event_flag"), F.col("event_name")
-    rows = frame.agg(
-        _count(any_of([F.char_length(F.coalesce(c, F.lit(""))) == 0 for c in ("store_id", "sku_id", "category", "source")])).alias("empty_required_rows"),
-        _count(odd(q)).alias("nonfinite_quantity_rows"), _count(p.isNotNull() & odd(p)).alias("nonfinite_price_rows"), _count(p <= 0).alias("nonpositive_price_rows"),
-        _count((event & name.isNull()) | (~event & name.isNotNull())).alias("event_semantic_mismatch_rows"), F.count_distinct("date").alias("date_count"),
+    rows = {
+        "empty_required_rows": any_of([F.char_length(F.coalesce(c, F.lit(""))) == 0 for c in ("store_id", "sku_id", "category", "source")]),
+        "nonfinite_quantity_rows": odd(q), "nonfinite_price_rows": p.isNotNull() & odd(p), "nonpositive_price_rows": p <= 0,
+        "event_semantic_mismatch_rows": (event & name.isNull()) | (~event & name.isNotNull()),
+    }
+    # The frame is grouped once; series and manifest then meet once, a row per series.
+    series = frame.groupBy(*KEYS).agg(F.count_distinct("date").alias("dates"), distinct_count("category").alias("categories"), F.lit(True).alias("seen"), *(_count(c).alias(k) for k, c in rows.items()))
+    listed = manifest.groupBy(*KEYS).agg(_count(F.col("included")).alias("chosen"), _count(F.col("dataset_version") != dataset_version).alias("other_version"))
+    # Keys may be null in a frame that is to be found wrong.
+    same = F.lit(True)
+    for k in KEYS:
+        same = same & series[k].eqNullSafe(listed[k])
+    both = series.join(listed, same, "full").join(frame.agg(F.count_distinct("date").alias("date_count")))
+    seen, chosen = F.coalesce("seen", F.lit(False)), F.coalesce("chosen", F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(
+        *(total(k).alias(k) for k in rows), _count(seen & (F.col("dates") != F.col("date_count"))).alias("incomplete_series_count"), _count(seen & (F.col("categories") != 1)).alias("category_instability_series_count"),
+        total(F.when(~seen, chosen)).alias("missing_selected_keys"), _count(seen & (chosen == 0)).alias("unexpected_frame_keys"),
+        total("chosen").alias("selected_series_count"), total("other_version").alias("manifest_version_mismatch_rows"),
     )
-    series = frame.groupBy(*KEYS).agg(F.count_distinct("date").alias("dates"), distinct_count("category").alias("categories"))
-    per = series.join(rows.select("date_count")).agg(_count(F.col("dates") != F.col("date_count")).alias("incomplete_series_count"), _count(F.col("categories") != 1).alias("category_instability_series_count"))
-    chosen = manifest.where("included")
-    gone = chosen.join(series, KEYS, "left_anti").agg(F.count("*").alias("missing_selected_keys"))
-    extra = series.join(chosen, KEYS, "left_anti").agg(F.count("*").alias("unexpected_frame_keys"))
-    told = manifest.agg(_count(F.col("included")).alias("selected_series_count"), _count(F.col("dataset_version") != dataset_version).alias("manifest_version_mismatch_rows"))
-    return rows.drop("date_count").join(per).join(gone).join(extra).join(told)
 
 
 def active(frame: DataFrame, manifest: DataFrame) -> DataFrame:

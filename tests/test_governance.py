@@ -124,3 +124,21 @@ def test_a_second_freeze_keeps_to_the_first(spark, tmp_path):
     assert suite.freeze(df, made, SMALL, "v", str(tmp_path)) == frozen
     with pytest.raises(ValueError, match="manifest_checksum_match"):
         suite.freeze(df, made.withColumn("segment", F.lit("medium")), SMALL, "v", str(tmp_path))
+
+
+def test_quality_counters_of_a_bad_panel(spark):
+    """Each fault is counted once, in frames and manifests that don't fit one another."""
+    kind = "date date, store_id string, sku_id string, category string, source string, quantity_sold double, unit_price double, event_flag boolean, event_name string"
+    day = [date(2026, 1, k) for k in (1, 2, 3)]
+    rows = [(d, "S", "A", "c", "s", 1.0, 2.0, False, None) for d in day]
+    rows += [(day[0], "S", "B", "c", "s", float("nan"), -1.0, True, None), (day[1], "S", "B", "other", "", float("inf"), float("inf"), False, "x")]
+    rows += [(day[0], None, "C", "c", "s", 1.0, None, False, None)]
+    frame = spark.createDataFrame(rows, kind)
+    listed = spark.createDataFrame([("v", "S", "A", True), ("old", "S", "B", True), ("v", "S", "D", True), ("v", "S", "E", False)], "dataset_version string, store_id string, sku_id string, included boolean")
+    got = validate.quality_counters(frame, listed, "v").first().asDict()
+    assert got == {
+        "empty_required_rows": 2, "nonfinite_quantity_rows": 2, "nonfinite_price_rows": 1, "nonpositive_price_rows": 1, "event_semantic_mismatch_rows": 2, "incomplete_series_count": 2,
+        "category_instability_series_count": 1, "missing_selected_keys": 1, "unexpected_frame_keys": 1, "selected_series_count": 3, "manifest_version_mismatch_rows": 1,
+    }
+    none = validate.quality_counters(frame.limit(0), listed.limit(0), "v").first().asDict()
+    assert set(none.values()) == {0}
