@@ -118,6 +118,11 @@ def series_metrics(predictions: DataFrame, frame: DataFrame, bands: DataFrame, f
     )
     if not known:
         sums = sums.join(frame.select(*SERIES, "weight_revenue", scales(F.transform("history", lambda x: x["q"])).alias("scale")), SERIES)
+    return scored(sums)
+
+
+def scored(sums: DataFrame) -> DataFrame:
+    """The metrics of sums per fold, model, series and band."""
     n, total = F.col("observation_count"), F.col("actual_sum")
     return sums.select(
         *SERIES, "model_id", "segment", "horizon_band", "horizon_start", "horizon_end", "weight_revenue",
