@@ -16,9 +16,11 @@ newly coined expressions of a family share evidence.
   continuation counts over *all* documents.  A rare expression that neither class
   has seen thus says nothing about toxicity.
 * All tables are hashed.  Distinct contexts are counted by linear counting in bitmaps,
-  which merge by OR; counts merge by addition.  If more than ``MOST_LOAD`` of a
-  table's cells are in use, the tables are made four times as large and counted
-  again, so that unlike grams seldom meet whatever the vocabulary.
+  which merge by OR; counts merge by addition.  Tables are four times as large until
+  no more than ``MOST_LOAD`` of their cells are in use, so that unlike grams seldom
+  meet whatever the vocabulary.  A first pass over all texts marks which of a fixed
+  few cells of each table are in use at every size, and so finds that size; should
+  the counted tables be fuller still, they are counted again.
 * Tasks emit compressed pieces of the tables, which are merged piece by piece in
   sorted streams, first by salt, then all: no task holds more than a batch of pieces,
   however many tasks there are, and the driver gets the finished tables only.
@@ -41,6 +43,8 @@ ORDER = 6
 GRAMS, CONTEXTS, LOW, LOW_CONTEXTS, PIECE = 1 << 21, 1 << 19, 1 << 18, 1 << 16, 1 << 13
 #: Share of cells in use beyond which tables grow, and salts of the first merge.
 MOST_LOAD, SALTS = 0.5, 64
+#: Cells of each table that are watched to find its size (so many times the size), and the largest size they can tell.
+WATCHED, MOST_SCALE = 1 << 13, 4**4
 #: Documents of each class that the models are fitted on, and of both that the curve is fitted on.
 MAX_TRAIN, MAX_CURVE = 10_000, 4_000
 #: The absolute discount where the counts hold no singletons or no doubletons to estimate it from, and its bounds.
@@ -123,9 +127,46 @@ class Counts:
                     yield name, at, zlib.compress(x.tobytes(), 1)
 
 
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Watched:
+    """Which watched cells are in use: those whose low bits are 0, in tables MOST_SCALE times as large, which fold to smaller ones."""
+
+    SHIFTS = {name: (size // WATCHED).bit_length() - 1 for name, size in (("low", LOW), ("around", LOW_CONTEXTS), ("gram0", GRAMS), ("gram1", GRAMS), ("context0", CONTEXTS), ("context1", CONTEXTS))}
+
+    def __init__(self):
+        self.t = {name: np.zeros(WATCHED * MOST_SCALE, bool) for name in self.SHIFTS}
+
+    def _mark(self, name: str, cells: np.ndarray) -> None:
+        shift = self.SHIFTS[name]
+        self.t[name][cells[cells & ((1 << shift) - 1) == 0] >> shift] = True
+
+    def add(self, g: Grams, labels: list[int | None]) -> None:
+        """As Counts.add; g at MOST_SCALE."""
+        self._mark("low", g.low)
+        self._mark("around", g.around)
+        for i, y in enumerate(labels):
+            if y in (0, 1):
+                self._mark(f"gram{y}", g.gram[g.first[i] : g.first[i + 1]])
+                self._mark(f"context{y}", g.context[g.first[i] : g.first[i + 1]])
+
+    def pieces(self) -> Iterator[tuple[str, int, bytes]]:
+        for name, used in self.t.items():
+            words = np.packbits(used).view(np.uint64)
+            for at in range(0, len(words), PIECE):
+                if words[at : at + PIECE].any():
+                    yield name, at, zlib.compress(words[at : at + PIECE].tobytes(), 1)
+
+
+def scale_of(words: dict[str, np.ndarray]) -> int:
+    """The size at which no table has more than MOST_LOAD of its watched cells in use, by their packed bits."""
+    used, scale = [np.unpackbits(x.view(np.uint8)) for x in words.values()], 1
+    while scale < MOST_SCALE and max(u.reshape(-1, WATCHED * scale).any(axis=0).mean() for u in used) > MOST_LOAD:
+        scale *= 4
+    return scale
+
+
+def merge(batches: Iterator[pa.RecordBatch], all_ored: bool = False) -> Iterator[pa.RecordBatch]:
     """One piece from each run of equal (name, at)."""
-    ored = {name for name, _, o in tables() if o}
+    ored = {name for name, _, o in tables() if o or all_ored}
     key, total = None, np.zeros(0, np.uint64)
     out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["name", "at", "data"])
     for b in batches:
@@ -235,9 +276,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
     test = {i: y for y in by for i in by[y] if fold[i]}
     train_ref = spark.sparkContext.broadcast(train)
 
-    def counted(scale: int) -> dict[str, np.ndarray]:
+    def gathered(scale: int, sizes: dict[str, int], made: type[Counts] | type[Watched]) -> dict[str, np.ndarray]:
+        """The tables of all texts, by name: Counts at scale, or Watched."""
+        watch = made is Watched
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts, some = Counts(scale), False
+            counts, some = Watched() if watch else Counts(scale), False
             for b in in_parts(batches):
                 ids = b.column("label_id").to_pylist()
                 for at, run in chunks(as_bytes(b.column("text"))):
@@ -247,19 +291,22 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_mod: in
                 for name, at, data in counts.pieces():
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([data], pa.binary())], ["name", "at", "data"])
 
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return merge(batches, watch)
+
         kind = "name string, at int, data binary"
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         pieces = docs.mapInArrow(count, kind).withColumn("salt", F.spark_partition_id() % SALTS)
-        pieces = pieces.repartition(parts, "name", "at", "salt").sortWithinPartitions("name", "at").select("name", "at", "data").mapInArrow(merge, kind)
-        pieces = pieces.repartition(parts, "name", "at").sortWithinPartitions("name", "at").mapInArrow(merge, kind)
-        out = {name: np.zeros(size, np.uint64) for name, size, _ in tables(scale)}
+        pieces = pieces.repartition(parts, "name", "at", "salt").sortWithinPartitions("name", "at").select("name", "at", "data").mapInArrow(merged, kind)
+        pieces = pieces.repartition(parts, "name", "at").sortWithinPartitions("name", "at").mapInArrow(merged, kind)
+        out = {name: np.zeros(size, np.uint64) for name, size in sizes.items()}
         for r in pieces.collect():  # the finished tables: some 50 MB before compression
             x = np.frombuffer(zlib.decompress(r["data"]), np.uint64)
             out[r["name"]][r["at"] : r["at"] + len(x)] = x
         return out
 
-    scale = 1
-    while load(found_tables := counted(scale)) > MOST_LOAD:
+    scale = scale_of(gathered(MOST_SCALE, dict.fromkeys(Watched.SHIFTS, WATCHED * MOST_SCALE // 64), Watched))
+    while load(found_tables := gathered(scale, {name: size for name, size, _ in tables(scale)}, Counts)) > MOST_LOAD:
         scale *= 4
     model = spark.sparkContext.broadcast(Model(found_tables))
 
