@@ -13,6 +13,8 @@ go themselves.
 * Groups of near copies are mostly settled first: lines that agree in a pair of
   minimum hashes, one of four, are compared with the earliest of them alone.  Only
   classes that this leaves go through the join, against all classes.
+* What a class needs in the join goes through a shuffle once, a share at a time; which
+  classes are settled is told to all passes before them.
 * The join meets on tokens of the prefix (n - ceil(t n) + 1 rarest).  Length and
   positional filters and a parity bitmap, which bounds the symmetric difference from
   below, run inside the join; what is left is verified on the token sets.
@@ -33,9 +35,10 @@ KEYS = ["k0", "k1", "k2", "k3"]
 #: Passes of the prefix join, each over its share of the tokens: the shuffle files of one pass are on disk at a time.
 PASSES = 4
 BUCKETS = 1 << 18
+#: The lines are grouped into classes in so many shares, for the same reason.
+SHARES = 2
 WHITE = " \t\n\v\f\r"
-SPACE = r"[\x20\x09-\x0D]+"
-#: Up to so many ids (8 bytes each) are broadcast; beyond that the join shuffles.
+#: Up to so many ids (8 bytes each), or a quarter as many places of lines, are broadcast; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -43,28 +46,39 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("bigint")
 
 
+def _words(text: Column) -> Column:
+    """Words, and an empty one at each end of white space that stands beside more; a split at one character needs no regular expression."""
+    for c in WHITE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
+
+
 def _hashes(line: Column) -> Column:
     """Sorted hashes of the distinct words of a lower-cased line that has a word."""
-    words = F.split(F.btrim(line, F.lit(WHITE)), SPACE)
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))))
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """Literal array: for each bucket a rank that grows with the count of its words in all documents."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
+    """Literal array: for each bucket a rank, times 2^53, that grows with the count of its words in all documents."""
+    words = docs.select(F.explode(_words(F.lower("text"))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(_long(buckets - 1)).alias("b")).count()
     ranks = counts.groupBy(F.shiftright("b", 8).alias("part")).agg(F.collect_list(F.struct("b", F.floor(8 * F.log2("count")).cast("int").alias("r"))).alias("of"))
     rank = [0] * buckets
     for row in ranks.toLocalIterator():  # ``buckets`` small numbers, whatever the corpus
         for b, r in row["of"]:
-            rank[b] = r
+            rank[b] = r << 53
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
 def _by_rarity(hashes: str, ranks: Column, buckets: int) -> Column:
-    """The hashes as numbers that sort by rarity: 10 bits of rank, then 53 bits of hash."""
+    """The hashes as numbers that sort by rarity: 10 bits of rank (as ranks has them), then 53 bits of hash."""
     rank = lambda h: F.get(ranks, h.bitwiseAND(_long(buckets - 1)).cast("int"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))))
+    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 11))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -97,28 +111,31 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
         "doc_id", "th", "line_no", "n",
         F.xxhash64("h", F.lit(1)).alias("sig"),
         F.xxhash64("h", F.lit(2)).alias("sig2"),
-        F.transform(F.slice("t", F.lit(1), _prefix(t)), lambda x: x.bitwiseAND(_long((1 << 40) - 1))).alias("prefix"),
+        # 31 bits of hash: words that share them cost time only, as do equal keys.
+        F.transform(F.slice("t", F.lit(1), _prefix(t)), lambda x: x.bitwiseAND(_long((1 << 31) - 1)).cast("int")).alias("prefix"),
         _parity(F.slice("h", F.lit(1), F.col("below"))).alias("bits"),
         _parity(F.slice("h", F.col("below") + 1, F.col("n") - F.col("below"))).alias("bits2"),
-        *(F.xxhash64(F.get("h", x), F.get("h", y)).alias(f"k{k}") for k, (x, y) in enumerate(ends)),
+        *(F.hash(F.get("h", x), F.get("h", y)).alias(f"k{k}") for k, (x, y) in enumerate(ends)),
     )
     wide = scratch.save(wide)
     place = F.struct("doc_id", "th", "line_no")
-    classes = scratch.save(wide.groupBy("sig").agg(F.min(place).alias("place"), F.min(F.struct("sig2", "n", "bits", "bits2", *KEYS, "prefix")).alias("x")).select("sig", "place", "x.*"))
+    shares = []
+    for k in range(SHARES):
+        of = wide.where(F.pmod("sig", _long(SHARES)) == k).groupBy("sig")
+        shares.append(scratch.save(of.agg(F.min(place).alias("place"), F.min(F.struct("sig2", "n", "bits", "bits2", *KEYS, "prefix")).alias("x")).select("sig", "place", "x.*")))
+        scratch.release()
+    classes = docs.sparkSession.read.schema(shares[0].schema).parquet(*(x.scratch_path for x in shares))
     every = scratch.save(wide.select("doc_id", "th", "line_no", "sig", "sig2"))
     scratch.drop(wide)
-    scratch.release()
 
     def similar(pairs: DataFrame) -> DataFrame:
         """sig of those later members b of pairs (a, b) whose token sets are similar enough to a's."""
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        where = scratch.save(classes.join(ends, "sig", "left_semi").select("sig", "place.*"))
-        ids = where.select("doc_id").distinct()
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        lines = _lines(some)
-        on = [lines["doc_id"].eqNullSafe(where["doc_id"]), lines["th"] == where["th"], lines["line_no"] == where["line_no"]]
-        sets = scratch.save(lines.join(where, on).select("sig", _hashes(F.col("line")).alias("t")).dropDuplicates(["sig"]))
+        where = scratch.save(classes.join(_few(ends, BROADCAST_IDS), "sig", "left_semi").select("sig", "place.*"))
+        ids, at = _few(where.select("doc_id").distinct(), BROADCAST_IDS), _few(where, BROADCAST_IDS // 4)
+        lines = _lines(docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi"))
+        on = [lines["doc_id"].eqNullSafe(at["doc_id"]), lines["th"] == at["th"], lines["line_no"] == at["line_no"]]
+        sets = scratch.save(lines.join(at, on).select("sig", _hashes(F.col("line")).alias("t")).dropDuplicates(["sig"]))
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         out = scratch.save(both.where(common * t.denominator >= (F.size("ta") + F.size("tb") - common) * t.numerator).select(F.col("b").alias("sig")).distinct())
@@ -128,18 +145,21 @@ def removed_lines(docs: DataFrame, threshold: Fraction = THRESHOLD, buckets: int
 
     near = lambda a, b: f"(bit_count({a}.bits ^ {b}.bits) + bit_count({a}.bits2 ^ {b}.bits2)) * {t.numerator + t.denominator} <= ({a}.n + {b}.n) * {t.denominator - t.numerator} AND {a}.n * {t.denominator} >= {b}.n * {t.numerator} AND {b}.n * {t.denominator} >= {a}.n * {t.numerator}"
     # A group's leader is its earliest line, so it comes before all others.
-    stars = []
+    seen, stars = F.struct("n", "bits", "bits2"), []
     for k in KEYS:
-        first = classes.groupBy(k).agg(F.min(F.struct("place", "sig"))["sig"].alias("a"), F.count("*").alias("c")).where("c > 1").select(k, "a")
-        stars.append(scratch.save(classes.select(k, F.col("sig").alias("b")).join(first, k).where("a <> b").select("a", "b")))
+        first = classes.groupBy(k).agg(F.min(F.struct("place", "sig", seen.alias("aa"))).alias("first"), F.count("*").alias("c")).where("c > 1")
+        met = classes.select(k, F.col("sig").alias("b"), seen.alias("bb")).join(first.select(k, F.col("first.sig").alias("a"), F.col("first.aa").alias("aa")), k)
+        stars.append(scratch.save(met.where(F.expr(f"a <> b AND {near('aa', 'bb')}")).select("a", "b")))
         scratch.release()
-    side = lambda x: classes.select(F.col("sig").alias(x), F.struct("n", "bits", "bits2").alias(x + x))
-    star = scratch.save(reduce(DataFrame.union, stars).distinct().join(side("a"), "a").join(side("b"), "b").where(F.expr(near("aa", "bb"))).select("a", "b"))
+    star = scratch.save(reduce(DataFrame.union, stars).distinct())
     scratch.drop(*stars)
-    scratch.release()
     gone = similar(star)
 
-    posting = classes.join(gone.withColumn("done", F.lit(1)), "sig", "left").select("sig", "n", "bits", "bits2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("pos", "token"))
+    known = classes.select("sig", "n", "bits", "bits2", "prefix").join(_few(gone.withColumn("done", F.lit(1)), BROADCAST_IDS), "sig", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    if gone.count() > BROADCAST_IDS:
+        known = scratch.save(known)  # one shuffle of the classes, not one in every pass
+        scratch.release()
+    posting = known.select("sig", "n", "bits", "bits2", "done", F.posexplode("prefix").alias("pos", "token"))
     # Pairs of a class that is left and one that is done, and, once, of two that are left. As neither side
     # can be filtered before the join, they are the same rows, and one exchange serves both.
     once = "(x.done < y.done OR (x.done + y.done = 0 AND x.sig < y.sig))"
