@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,12 @@ _WORD = re.compile(rf"[ \t\n\v\f\r]*[{_LETTERS}]+(?=[.,:;!?|%*$&#])|[ \t\n\v\f\r
 _ODD = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
 
+#: Texts without any of these are cut at single blanks and line ends by the methods of str, which are faster than a regular expression.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", "\0", "\t", "\v", "\f", "\r")
+#: What may follow a word of letters, and is tokenised apart from it.
+_MARKS, _LETTER = ".,:;!?|%*$&#", re.compile(f"[{_LETTERS}]")
+
+
 class _Tokens:
     """Ids of texts as little-endian uint32 bytes, with a bounded memo of words.
 
@@ -61,6 +68,10 @@ class _Tokens:
         self.added = [t.content for t in added.values()]
         #: An added token that takes no white space around it: text on both sides of it is tokenised apart.
         self.border = next(((i, t.content) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
+        #: Whether an id stands for bytes that begin with a blank or a line end, in the byte-level alphabet.
+        vocab = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] in (chr(0x120), chr(0x10A))]] = True
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,16 +89,48 @@ class _Tokens:
             out += [ids[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1)], [*cuts, len(x)], strict=True)]
         return out
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Of parts as _cut gives them: those that begin with a blank or a line end, and hold no other, run
+        on as one text, in which an id that begins so begins a part; all others as words."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if p not in ("", "\n") and p[0] != "\0"]
+        rest = [p for p in parts if p in ("", "\n") or p[0] == "\0"]
+        runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        whole = self._plain(["".join(p if p[0] == "\n" else " " + p for p in run) for run in runs])
+        for run, ids in zip(runs, whole, strict=True):
+            cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+            if len(cuts) == len(run) and cuts[0] == 0:
+                out.update(zip(run, [ids[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True)], strict=True))
+            else:  # another kind of tokenizer
+                rest += run
+        out.update(zip(rest, self._words([p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in rest]), strict=True))
+        return [out[p] for p in parts]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """A text's words, each with the white space before it, or None for a text to be tokenised whole.
+
+        Of an even text: NUL and what stands before the first blank or line end; what follows
+        a blank, without it; a line end and what follows it.
+        """
+        if _ODD.search(text) or any(a in text for a in self.added):
+            return None
+        if any(x in text for x in _UNEVEN):
+            return ["\0" + w for w in _WORD.findall(text)]
+        return ("\0" + text).replace("\n", " \n").split(" ")
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            run = [None if _ODD.search(t) or any(a in t for a in self.added) else _WORD.findall(t) for t in texts[at : at + 64]]
+            run = [self._cut(t) for t in texts[at : at + 64]]
             if len(self.memo) > MEMO_WORDS:
                 self.memo, self.older = {}, self.memo
             memo, older = self.memo, self.older
-            new = {w for words in run if words for w in words if w not in memo}
+            new = set(filterfalse(memo.__contains__, chain.from_iterable(words for words in run if words)))
             memo.update((w, older[w]) for w in new if w in older)
-            new = [w for w in new if w not in older]
-            memo.update(zip(new, self._words(new), strict=True))
+            # A word with punctuation after it has the ids of both.
+            two = {w: (stem, "\0" + w[len(stem) :]) for w in new if w not in older and w[-1:] in _MARKS and (stem := w.rstrip(_MARKS)) and _LETTER.match(stem[-1])}
+            new = [w for w in {*new.difference(two), *chain.from_iterable(two.values())} if w not in memo]
+            memo.update(zip(new, self._parts(new), strict=True))
+            memo.update((w, memo[stem] + memo[mark]) for w, (stem, mark) in two.items())
             for t, words in zip(texts[at : at + 64], run, strict=True):
                 yield self._plain([t])[0] if words is None else b"".join(map(memo.__getitem__, words))
 
@@ -129,13 +172,15 @@ def pieces(df: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Martello and Toth's bound: no packing has fewer bins."""
-    best = int(-(-sizes.sum() // capacity)) if len(sizes) else 0
-    for k in np.unique(sizes[sizes <= capacity // 2]):
-        big, mid = sizes > capacity - k, (sizes <= capacity - k) & (sizes > capacity // 2)
-        low = (sizes <= capacity // 2) & (sizes >= k)
-        room = mid.sum() * capacity - sizes[mid].sum()
-        best = max(best, int(big.sum() + mid.sum() + max(0, -(-(sizes[low].sum() - room) // capacity))))
-    return best
+    if not len(sizes):
+        return 0
+    up = np.sort(sizes).astype(np.int64)
+    upto = np.r_[0, np.cumsum(up)]
+    k = np.unique(up[up <= capacity // 2])
+    half, big, least = np.searchsorted(up, capacity // 2, "right"), np.searchsorted(up, capacity - k, "right"), np.searchsorted(up, k)
+    room = (big - half) * capacity - (upto[big] - upto[half])
+    more = np.maximum(0, -(-(upto[half] - upto[least] - room) // capacity))
+    return int(max(-(-upto[-1] // capacity), (len(up) - half + more).max(initial=0)))
 
 
 def _best_fit(sizes: list[int], items: list[int], bins: list[list[int]], fills: list[int], capacity: int) -> None:
